@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import fingerprints
+from keyloom.llm import fingerprints, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +22,10 @@ def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_merkle_fingerprints"] = op1_merkle_fingerprints
 ORACLE["op1_merkle_fingerprints"] = fingerprints.SQL
+
+
+def op3_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded_digest(_read(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_histogram_sort_shards"] = op3_histogram_sort_shards
