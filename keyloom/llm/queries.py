@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import fingerprints, sharding
+from keyloom.llm import decontam, fingerprints, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +29,11 @@ def op3_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_histogram_sort_shards"] = op3_histogram_sort_shards
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_decontamination"] = op4_decontamination
+ORACLE["op4_decontamination"] = decontam.SQL
