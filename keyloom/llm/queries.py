@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, fingerprints, sharding
+from keyloom.llm import decontam, fingerprints, packing, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +38,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_decontamination"] = op4_decontamination
 ORACLE["op4_decontamination"] = decontam.SQL
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
+QUERIES["op7_token_counts"] = op7_token_counts
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
