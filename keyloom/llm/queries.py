@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, fingerprints, packing, sharding, tokens
+from keyloom.llm import decontam, fingerprints, packing, pii, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
+
+
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES["op6_pu_quality"] = op6_pu_quality
+
+
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(_read(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_pii_disclosure"] = op8_pii_disclosure
