@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, fingerprints, packing, pii, quality, sharding, tokens
+from keyloom.llm import decontam, fingerprints, licenses, packing, pii, quality, sharding, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,10 @@ def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_pii_disclosure"] = op8_pii_disclosure
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES["op5_license_scan"] = op5_license_scan
