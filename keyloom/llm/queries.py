@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, fingerprints, licenses, packing, pii, quality, sharding, tokens
+from keyloom.llm import decontam, fingerprints, licenses, packing, pii, quality, sharding, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_license_scan"] = op5_license_scan
+
+
+def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
+QUERIES["op2_warc_packages"] = op2_warc_packages
+ORACLE["op2_warc_packages"] = warc.SQL
