@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, fingerprints, licenses, packing, pii, quality, sharding, tokens, warc
+from keyloom.llm import decontam, fingerprints, licenses, neardup, packing, pii, quality, sharding, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,10 @@ def op2_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_warc_packages"] = op2_warc_packages
 ORACLE["op2_warc_packages"] = warc.SQL
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_near_duplicates"] = op10_near_duplicates
