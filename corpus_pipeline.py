@@ -1,8 +1,51 @@
-"""The corpus pipeline."""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
 
+A stage takes (spark, docs, sf_dir) and returns documents with the columns they came with; the last one returns pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from keyloom.llm import decontam, neardup, packing, pii, quality
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the positive-unlabelled classifier rejects."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.with_score(docs, model, score_col="_quality").where("_quality >= 0.5").drop("_quality")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near duplicates."""
+    return neardup.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts benchmark passages out; drops documents that are mostly benchmark."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalises personal data and the terms that disclose them."""
+    return pii.sanitise(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("pii", pii_sanitisation),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Learnt scores, shingle classes and tokenizers can't be stated in SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 

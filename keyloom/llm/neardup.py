@@ -6,9 +6,9 @@ odd sketch: the number of ones in the XOR of two sketches tells a high similarit
 
 Buckets are never expanded into all pairs. Each node first meets only the two hubs (least ids of its buckets) with
 which it shares most bands; links are decided on the full sets, and classes formed. What is left are pairs of one bucket
-in different classes. For the documents of such buckets the shingles that no other of them has are counted: a document
-can only be linked through the rest, and that bound together with the sketches sifts pairs inside the join; the
-survivors, however many, are decided on the full sets and classes formed anew.
+in different classes. For the documents of such buckets those shingles are counted that some document of another class
+has as well: a link to another class can only hold these, and that bound together with the sketches sifts pairs inside
+the join; the survivors, however many, are decided on the full sets and classes formed anew.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def with_bit(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
 def decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links by their full sets; ``docs`` has doc_id and text."""
     pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     texts = with_bit(docs, ids)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
@@ -196,22 +196,25 @@ def sketches_close(x: Column, y: Column) -> Column:
     return sum(ones[1:], ones[0]) <= most_ones()
 
 
-def unshared(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, alone: how many of its shingles no other document of ``ids`` has (ids without such shingles are absent)."""
+def shared_across(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """id, most: how many of a document's shingles some document of another class has, for (id, component) rows.
+
+    No two documents of different classes have more in common than either's ``most``.
+    """
 
     def run(batches):
         hashes = WordHash()
         for part in slices(batches):
-            sets = [shingles(t, hashes) for t in part.column(1).to_pylist()]
+            sets = [shingles(t, hashes) for t in part.column(2).to_pylist()]
             sizes = np.fromiter(map(len, sets), np.int64, count=len(sets))
             items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            owners = np.repeat(np.array(part.column(0).to_pylist(), np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(items.view(np.int64))], names=["id", "item"])
+            told = [pa.array(np.repeat(np.array(part.column(k).to_pylist(), np.int64), sizes)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*told, pa.array(items.view(np.int64))], names=["id", "component", "item"])
 
-    texts = with_bit(docs, ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    items = texts.select("doc_id", "text").mapInArrow(run, "id long, item long")
-    single = items.groupBy("item").agg(F.min("id").alias("id"), F.max("id").alias("_last")).where("id = _last")
-    return single.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    texts = with_bit(docs, classed.select("id")).join(classed.withColumnRenamed("id", "doc_id"), "doc_id")
+    items = texts.select("doc_id", "component", "text").mapInArrow(run, "id long, component long, item long")
+    across = items.groupBy("item").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y").select("item")
+    return items.join(across, "item", "left_semi").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("most"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,9 +249,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = classed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_members = checkpointed(classed.join(main.drop("parts"), "bucket"))
-    ids = checkpointed(open_members.select("id").distinct())
-    bound = small.join(ids, "id", "left_semi").join(unshared(texts, ids), "id", "left")
-    bound = bound.select("id", "n", "sketch", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    ids = checkpointed(open_members.select("id", "component").distinct())
+    bound = small.join(shared_across(texts, ids), "id")
     able = checkpointed(open_members.join(bound.where(100 * F.col("most") >= PERCENT * F.col("n")), "id"))
     u, v = able.where("component <> main").alias("u"), able.alias("v")
     apart = (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.component") != F.col("v.component"))

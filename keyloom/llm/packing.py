@@ -12,14 +12,16 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
+from unicodedata import is_normalized
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.common import checkpointed, slices
-from keyloom.llm.tokens import ODD, cache, tokenizer
+from keyloom.llm.tokens import ids_between, lookup, odd, tokenizer, two_parts
 
 #: Tokens of a sequence.
 CAPACITY = 2048
@@ -28,14 +30,34 @@ SALTS = 64
 
 
 def token_ids(path: str):
-    """A function text -> ids as little-endian unsigned 32-bit bytes; runs between white space are cached."""
+    """A function texts -> ids as little-endian unsigned 32-bit bytes each; groups between white space are cached."""
     own = tokenizer(path)
 
-    def encode(part: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in own.encode(part, add_special_tokens=False).ids)
+    def alone(text: str) -> bytes:
+        return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    parts = cache("ids", path, encode)
-    return lambda text: encode(text) if ODD.search(text) else b"".join(map(parts.__getitem__, text.split()))
+    def many(groups: list[str]) -> list[bytes]:
+        split = two_parts(groups)
+        wanted = list({x for pair in split for x in pair if x})
+        ids = dict(zip(wanted, ids_between(path, wanted, "|", " | "), strict=True))
+        return [ids[core] + ids[tail] if tail else ids[core] for core, tail in split]
+
+    known = lookup(f"ids {path}", many)
+
+    def run(texts: list[str | None]) -> list[bytes]:
+        out: list[bytes | None] = [b"" if not t else alone(t) if odd(t) else None for t in texts]
+        groups = [lowered(t).split() if x is None else () for t, x in zip(texts, out, strict=True)]
+        ids = known.learn(set().union(*groups)).__getitem__
+        return [b"".join(map(ids, g)) if x is None else x for g, x in zip(groups, out, strict=True)]
+
+    return run
+
+
+def lowered(text: str) -> str:
+    """Lower case where that is sure to be what the tokenizer makes of the text anyway, to have fewer groups; else as it is."""
+    if text.isascii() or not ("\u03a3" in text or "\u0130" in text) and is_normalized("NFC", text):
+        return text.lower()
+    return text
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", terminator: int = 0) -> DataFrame:
@@ -46,8 +68,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
         ids_of = token_ids(path)
         for part in slices(batches):
             out = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = (ids_of(text) if text else b"") + end
+            for doc_id, own in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
+                ids = own + end
                 for number, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     out.append((doc_id, number, at // 4, len(piece) // 4, zlib.crc32(piece)))

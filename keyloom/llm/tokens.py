@@ -12,8 +12,11 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,14 +28,18 @@ TABLE_CHARS = 64
 #: A task reports pre-tokens that make up at least this share of its own.
 HEAVY_SHARE = 1 / 20_000
 #: Entries of each of the two generations of a worker's cache.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
+#: Groups that are encoded in one call.
+JOINED = 1_000
+PUNCTUATION = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
 #: Set in the table and caches for groups whose count depends on what stands beside them.
 APART = 1 << 40
 GROUPS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Separators that Python and the patterns see differently, and how special strings begin.
+ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 _loaded: dict[str, object] = {}
-_caches: dict[tuple, dict] = {}
+_lookups: dict[tuple, Lookup] = {}
 
 
 def tokenizer(path: str):
@@ -45,25 +52,73 @@ def tokenizer(path: str):
     return _loaded[path]
 
 
-class Generations(dict):
-    """A cache of bounded size: when the young generation is full it becomes the old one, and what is used comes back."""
+class Lookup:
+    """What is known of groups: a fixed table and a bounded number of learnt ones; when full, what is used is kept."""
 
-    def __init__(self, make, entries: int = CACHE_ENTRIES):
-        super().__init__()
-        self.make, self.entries, self.old = make, entries, {}
+    def __init__(self, make: Callable[[list[str]], list], fixed: dict | None = None, entries: int = CACHE_ENTRIES):
+        self.make, self.fixed, self.entries = make, fixed or {}, entries
+        self.known, self.old = dict(self.fixed), {}
 
-    def __missing__(self, key):
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        self[key] = value = self.make(key) if value is None else value
-        return value
+    def learn(self, groups: set[str]) -> dict:
+        """A dict that has all of ``groups``."""
+        if len(self.known) - len(self.fixed) > self.entries:
+            self.old, self.known = self.known, dict(self.fixed)
+        missing = groups.difference(self.known)
+        back = {g: v for g in missing if (v := self.old.get(g)) is not None} if self.old else {}
+        self.known.update(back)
+        new = list(missing.difference(back)) if back else list(missing)
+        self.known.update(zip(new, self.make(new), strict=True))
+        return self.known
 
 
-def cache(kind: str, path: str, make) -> Generations:
-    """The worker's cache of a kind for a tokenizer; it outlives tasks."""
-    return _caches.setdefault((kind, path), Generations(make))
+def lookup(kind: str, make: Callable[[list[str]], list], fixed: dict | None = None) -> Lookup:
+    """The worker's lookup of a kind; it outlives tasks."""
+    if kind not in _lookups:
+        _lookups[kind] = Lookup(make, fixed)
+    return _lookups[kind]
+
+
+def odd(text: str) -> bool:
+    """Whether only the tokenizer itself can take the text apart."""
+    return any(x in text for x in ODD)
+
+
+def ids_between(path: str, texts: list[str], separator: str, joiner: str) -> list[bytes]:
+    """Ids of each text as 32-bit bytes, encoded many at a time with a separator between them.
+
+    ``separator`` is a character that is one token wherever ``joiner`` puts it, and that no other text yields. Texts
+    with that character, or with special strings, are encoded alone.
+    """
+    own = tokenizer(path)
+    (mark,) = own.encode(separator, add_special_tokens=False).ids
+    out: dict[str, bytes] = {}
+    for at in range(0, len(texts), JOINED):
+        part = texts[at : at + JOINED]
+        if odd("\n".join(part)) or any(separator in t for t in part):
+            for t in part:
+                if separator in t or odd(t):
+                    out[t] = np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            part = [t for t in part if t not in out]
+            if not part:
+                continue
+        (found,) = own.encode_batch_fast([joiner.join(part)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        raw, marks = ids.tobytes(), (np.flatnonzero(ids == mark) * 4).tolist()
+        out.update((t, raw[i:k]) for t, i, k in zip(part, [0, *(m + 4 for m in marks)], [*marks, len(raw)], strict=True))
+    return [out[t] for t in texts]
+
+
+def two_parts(groups: list[str]) -> list[tuple[str, str]]:
+    """For each group its letters and the punctuation after them, which the patterns take apart anyway; or itself and ''."""
+    out = []
+    for group in groups:
+        if not group.isalpha():
+            core = group.rstrip(PUNCTUATION)
+            if core.isalpha():
+                out.append((core, group[len(core) :]))
+                continue
+        out.append((group, ""))
+    return out
 
 
 def frequent(docs: DataFrame, text_col: str, entries: int = TABLE_ENTRIES) -> DataFrame:
@@ -99,39 +154,52 @@ def length_table(spark_docs: DataFrame, text_col: str, path: str, entries: int =
 class Counts:
     """Token counts of texts, by table, cache and tokenizer in that order."""
 
-    def __init__(self, path: str, table: dict[str, int]):
-        self.encode = tokenizer(path).encode
-        self.groups = cache("groups", path, self.whole)
-        self.rest = cache("after a blank", path, lambda p: APART if not p or p[0].isspace() or p[-1].isspace() else self.whole(f" {p}"))
-        self.table = table
+    def __init__(self, path: str, table: dict[str, int], version: str):
+        self.path = path
+        self.rest = lookup(f"lengths {path} {version}", self.lengths, table)
+        self.other = lookup(f"whole {path}", lambda groups: [self.whole(g) for g in groups])
 
     def whole(self, text: str) -> int:
-        return len(self.encode(text, add_special_tokens=False).ids)
-
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if ODD.search(text):
-            return self.whole(text)
-        first, *parts = text.split(" ")
-        if first and not first[-1].isspace():
-            known = list(map(self.table.get, parts))
-            rest = self.rest
-            n = sum([rest[p] if k is None else k for k, p in zip(known, parts, strict=True)])
-            if n < APART:
-                return n + self.groups[first]
-        return sum(map(self.groups.__getitem__, GROUPS.findall(text)))
+        return len(tokenizer(self.path).encode(text, add_special_tokens=False).ids)
+
+    def lengths(self, parts: list[str]) -> list[int]:
+        """Tokens of groups that follow a blank; letters and punctuation are learnt apart."""
+        inner = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace()]
+        split = two_parts(inner)
+        wanted = list({f" {core}" for core, _ in split})
+        n = dict(zip(wanted, ids_between(self.path, wanted, "\n", "\n"), strict=True))
+        tails = self.other.learn({t for _, t in split if t})
+        found = {p: len(n[f" {core}"]) // 4 + (tails[tail] if tail else 0) for p, (core, tail) in zip(inner, split, strict=True)}
+        return [found.get(p, APART) for p in parts]
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        found: list[int | None] = [0 if not t else self.whole(t) if odd(t) else None for t in texts]
+        parts = [t.split(" ") if n is None else [] for t, n in zip(texts, found, strict=True)]
+        firsts = [p[0] if p else "" for p in parts]
+        known = self.rest.learn(set().union(*(p[1:] for p in parts))).__getitem__
+        other = self.other.learn(set(firsts))
+        for k, own in enumerate(parts):
+            if own:
+                n = sum(map(known, own[1:])) if own[0] and not own[0][-1].isspace() else APART
+                found[k] = n + other[own[0]] if n < APART else self.by_white_space(texts[k])
+        return found
+
+    def by_white_space(self, text: str) -> int:
+        groups = GROUPS.findall(text)
+        known = self.other.learn(set(groups))
+        return sum(map(known.__getitem__, groups))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row; a null text counts as empty; equal rows give equal rows."""
-    table = docs.sparkSession.sparkContext.broadcast(length_table(docs, text_col, path))
+    lengths = length_table(docs, text_col, path)
+    version = xxhash.xxh3_64_hexdigest("\0".join(sorted(lengths)))
+    table = docs.sparkSession.sparkContext.broadcast(lengths)
 
     def run(batches):
-        counts = Counts(path, table.value)
+        counts = Counts(path, table.value, version)
         for part in slices(batches):
-            texts = part.column(1).to_pylist()
-            sizes = [counts.count(t) for t in texts]
+            sizes = counts.counts(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("n_bytes"))
