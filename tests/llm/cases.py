@@ -27,7 +27,7 @@ def docs(spark, rows=None):
     """doc_id, text, lang, source, n_chars; one row twice; the columns that operators might use are there as well."""
     rows = list(enumerate(texts())) if rows is None else rows
     rows = [*rows, rows[-1]] if rows else rows
-    made = spark.createDataFrame([(i, t, "en" if i % 2 else None, f"src{i % 3}", None if t is None else len(t)) for i, t in rows], SCHEMA)
+    made = spark.createDataFrame([(i, t, "en" if (i or 0) % 2 else None, f"src{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows], SCHEMA)
     return made.repartition(3).withColumns({c: F.lit(7) for c in ("id", "n", "bucket", "hub", "component", "score", "shard", "piece", "length", "next_text", "text_hash", "e", "t", "a", "b", "part", "kept")})
 
 
