@@ -173,21 +173,26 @@ def decided(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def classes(edges: DataFrame) -> DataFrame:
     """id, component (the least id reached) for every id in ``edges`` (a, b).
 
-    Each round every node moves to its least neighbour and edges are drawn anew between the places; a round at least
-    halves the nodes that still have edges, so rounds grow with the logarithm of the longest chain at most.
+    Each round every node moves to the least of itself and its neighbours, and edges are drawn anew between the places.
+    Least is by id in the first round, which ends stars around their least id, and by a new hash in each later one,
+    which shrinks any graph, chains too, by a constant share: rounds grow with the logarithm of the nodes.
     """
     e = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    nodes = checkpointed(e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("component", F.col("id")))
+    nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("place", F.col("id"))
+    number = 0
     while not e.isEmpty():
+        order = lambda c, k=number: F.struct((F.xxhash64(F.col(c), F.lit(k)) if k else F.lit(0)).cast("long").alias("h"), F.col(c).alias("v"))
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = checkpointed(both.groupBy(F.col("a").alias("_from")).agg(F.least(F.col("_from"), F.min("b")).alias("_to")))
-        nodes = nodes.join(moves, nodes["component"] == moves["_from"], "left").select("id", F.coalesce("_to", "component").alias("component"))
-        nodes = checkpointed(nodes)
+        least = both.groupBy(F.col("a").alias("_from")).agg(F.min(order("b")).alias("_m"))
+        moves = checkpointed(least.select("_from", F.least(F.col("_m"), order("_from"))["v"].alias("_to")))
+        nodes = checkpointed(nodes.join(moves, nodes["place"] == moves["_from"], "left").select("id", F.coalesce("_to", "place").alias("place")))
         left = moves.select(F.col("_from").alias("a"), F.col("_to").alias("_a"))
         right = moves.select(F.col("_from").alias("b"), F.col("_to").alias("_b"))
         drawn = e.join(left, "a").join(right, "b").where("_a <> _b")
         e = checkpointed(drawn.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
-    return nodes
+        number += 1
+    heads = nodes.groupBy("place").agg(F.min("id").alias("component"))
+    return nodes.join(heads, "place").select("id", "component")
 
 
 def sketches_close(x: Column, y: Column) -> Column:
