@@ -1,16 +1,18 @@
 """Hashes, lists, sets and scored sets as long tables, all keys at once.
 
-hashes(key, field, value), lists(key, pos, value), sets(key, member), zsets(key, member, score). Ranks are windows
-by key; set algebra is a grouping by member with counts of keys, which pre-aggregates in every task; scores order
+hashes(key, field, value), lists(key, pos, value), sets(key, member), zsets(key, member, score). Ranks are taken by
+ranges (see ordering), so one key may hold most rows; the first few rows of each key come from a window that every task
+prunes first; set algebra is a grouping by member with counts of keys, which pre-aggregates in every task. Scores order
 with NaN last, as Spark's doubles do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.values import index_range
+from keyloom.operators.ordering import firsts, numbered, with_count
 
 # Hashes
 
@@ -29,12 +31,11 @@ def summary(rows: DataFrame, name: str = "n") -> DataFrame:
 def sampled(rows: DataFrame, n: int, seed: int, by: str) -> DataFrame:
     """HRANDFIELD, SRANDMEMBER, ZRANDMEMBER, SPOP: n rows of each key; with -n, |n| draws with replacement."""
     if n >= 0:
-        order = Window.partitionBy("key").orderBy(F.xxhash64(by, F.lit(seed)), by)
-        return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy(by)) - 1)
+        return firsts(rows, ["key"], [F.xxhash64(by, F.lit(seed)), F.col(by)], n, "_r").drop("_r")
+    ranked = numbered(rows, ["key"], [by], "_r")
     draws = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(-n - 1))))
     draws = draws.withColumn("_r", F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.col("_n")))
-    return draws.join(ranked.withColumn("_r", F.col("_r").cast("long")), ["key", "_r"]).drop("_r", "_n")
+    return draws.join(ranked, ["key", "_r"]).drop("_r", "_n")
 
 
 # Lists
@@ -43,16 +44,14 @@ def sampled(rows: DataFrame, n: int, seed: int, by: str) -> DataFrame:
 def pushed(lists: DataFrame, new: DataFrame, left: bool = False, only_existing: bool = False) -> DataFrame:
     """RPUSH and LPUSH (the last pushed is first) of rows (key, seq, value); the X forms only where there is a list."""
     ends = lists.groupBy("key").agg(F.min("pos").alias("_lo"), F.max("pos").alias("_hi"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
-    rows = new.withColumn("_k", rank).join(ends, "key", "inner" if only_existing else "left")
-    at = F.coalesce("_lo", F.lit(0)) - F.col("_k") if left else F.coalesce("_hi", F.lit(-1)) + F.col("_k")
+    rows = numbered(new, ["key"], ["seq"], "_k").join(ends, "key", "inner" if only_existing else "left")
+    at = F.coalesce("_lo", F.lit(0)) - F.col("_k") - 1 if left else F.coalesce("_hi", F.lit(-1)) + F.col("_k") + 1
     return lists.unionByName(rows.select("key", at.cast("long").alias("pos"), "value"))
 
 
 def indexed(lists: DataFrame) -> DataFrame:
     """Rows with ``i``, their position from 0, and ``n``, the list's length."""
-    own = Window.partitionBy("key")
-    return lists.withColumns({"i": F.row_number().over(own.orderBy("pos")) - 1, "n": F.count(F.lit(1)).over(own)})
+    return with_count(numbered(lists, ["key"], ["pos"], "i"), ["key"])
 
 
 def list_range(lists: DataFrame, start: int, stop: int, keep: bool = True) -> DataFrame:
@@ -76,20 +75,24 @@ def list_set(lists: DataFrame, index: int, value: Column) -> DataFrame:
     return rows.withColumn("value", F.when(at, value).otherwise(F.col("value"))).drop("i", "n")
 
 
-def popped(rows: DataFrame, n: int, order: list[Column], rest: bool = False) -> DataFrame:
-    """LPOP, RPOP, ZPOPMIN, ZPOPMAX: the first n of each key in an order, or what is left after them."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(*order))
-    found = rows.withColumn("rank", rank)
-    return found.where(F.col("rank") > n).drop("rank") if rest else found.where(F.col("rank") <= n)
+def popped(rows: DataFrame, n: int, order: list[Column]) -> DataFrame:
+    """LPOP, RPOP, ZPOPMIN, ZPOPMAX: the first n of each key in an order, with ``rank`` from 0."""
+    return firsts(rows, ["key"], order, n)
+
+
+def after_pop(rows: DataFrame, n: int, order: list[Column], unique: list[str]) -> DataFrame:
+    """What is left after a pop of n; rows are told apart by ``unique``."""
+    return rows.join(popped(rows, n, order).select(*unique), unique, "left_anti")
 
 
 def list_removed(lists: DataFrame, value: str, n: int) -> DataFrame:
     """LREM: the first n equal values from the head, -n from the tail, all for 0, are gone."""
     hit = F.col("value") == value
+    if n == 0:
+        return lists.where(~F.coalesce(hit, F.lit(False)))
     order = F.col("pos").desc() if n < 0 else F.col("pos").asc()
-    nth = F.sum(hit.cast("int")).over(Window.partitionBy("key").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    gone = hit if n == 0 else hit & (nth <= abs(n))
-    return lists.withColumn("_gone", F.coalesce(gone, F.lit(False))).where("NOT _gone").drop("_gone")
+    gone = firsts(lists.where(hit), ["key"], [order], abs(n)).select("key", "pos")
+    return lists.join(gone, ["key", "pos"], "left_anti")
 
 
 def list_inserted(lists: DataFrame, pivot: str, value: str, before: bool = True) -> DataFrame:
@@ -98,7 +101,7 @@ def list_inserted(lists: DataFrame, pivot: str, value: str, before: bool = True)
     at = rows.where(F.col("value") == pivot).groupBy("key").agg(F.min("i").alias("_at"))
     new = at.select("key", (F.col("_at") + F.lit(-0.5 if before else 0.5)).alias("_o"), F.lit(value).alias("value"))
     every = rows.select("key", F.col("i").cast("double").alias("_o"), "value").unionByName(new)
-    return every.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("_o")) - 1).cast("long").alias("pos"), "value")
+    return numbered(every, ["key"], ["_o"], "pos").select("key", "pos", "value")
 
 
 def list_positions(lists: DataFrame, value: str, rank: int = 1, count: int = 1, maxlen: int = 0) -> DataFrame:
@@ -107,9 +110,9 @@ def list_positions(lists: DataFrame, value: str, rank: int = 1, count: int = 1,
     if maxlen:
         rows = rows.where(F.col("i") < maxlen if rank > 0 else F.col("i") >= F.col("n") - maxlen)
     order = F.col("i").asc() if rank > 0 else F.col("i").desc()
-    found = rows.where(F.col("value") == value).withColumn("match", F.row_number().over(Window.partitionBy("key").orderBy(order)))
-    found = found.where(F.col("match") >= abs(rank))
-    return found.where(F.col("match") < abs(rank) + count) if count else found
+    hits = rows.where(F.col("value") == value)
+    found = firsts(hits, ["key"], [order], abs(rank) - 1 + count, "match") if count else numbered(hits, ["key"], [order], "match")
+    return found.where(F.col("match") >= abs(rank) - 1)
 
 
 def moved_elements(lists: DataFrame, source: str, target: str, from_left: bool, to_left: bool) -> DataFrame:
@@ -133,9 +136,9 @@ def sorted_elements(rows: DataFrame, alpha: bool = False, descending: bool = Fal
     number = F.expr("try_cast(value AS DOUBLE)")
     by = F.col("value") if alpha else F.when(number.isNull() | F.isnan(number) | (F.abs(number) == float("inf")), F.raise_error(F.lit("a value is not a number"))).otherwise(number)
     order = [by.desc(), F.col(position).desc()] if descending else [by.asc(), F.col(position).asc()]
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1)
-    found = ranked.where(F.col("rank") >= offset)
-    return found if count is None else found.where(F.col("rank") < offset + count)
+    if count is not None:
+        return firsts(rows, ["key"], order, offset + count).where(F.col("rank") >= offset)
+    return numbered(rows, ["key"], order).where(F.col("rank") >= offset)
 
 
 # Sets
@@ -149,17 +152,6 @@ def set_algebra(sets: DataFrame, op: str, keys: list[str]) -> DataFrame:
     return found.where(kept).select("member")
 
 
-def set_pairs(sets: DataFrame, op: str) -> DataFrame:
-    """Sizes of the intersections, unions or differences of all pairs of keys that share a member: a self-join on member."""
-    sizes = summary(sets, "_n")
-    other = sets.select(F.col("key").alias("other"), "member")
-    both = sets.join(other, "member").where(F.col("key") < F.col("other") if op != "diff" else F.col("key") != F.col("other"))
-    common = both.groupBy("key", "other").agg(F.count(F.lit(1)).alias("common"))
-    named = common.join(sizes, "key").join(sizes.select(F.col("key").alias("other"), F.col("_n").alias("_m")), "other")
-    size = {"inter": F.col("common"), "union": F.col("_n") + F.col("_m") - F.col("common"), "diff": F.col("_n") - F.col("common")}[op]
-    return named.select("key", "other", size.alias("size"))
-
-
 def set_moved(sets: DataFrame, source: str, target: str, member: str) -> DataFrame:
     """SMOVE: only if the source has the member."""
     here = (F.col("key") == source) & (F.col("member") == member)
@@ -180,20 +172,23 @@ def zadd(log: DataFrame, condition: str = "") -> DataFrame:
     return log.groupBy("key", "member").agg(score.alias("score"))
 
 
+def score_order(reverse: bool = False) -> list[Column]:
+    """By score and then member, or the other way round."""
+    return [F.desc("score"), F.desc("member")] if reverse else [F.asc("score"), F.asc("member")]
+
+
 def zrank(zsets: DataFrame, reverse: bool = False) -> DataFrame:
     """ZRANK, ZREVRANK: 0-based, by score and then member."""
-    order = [F.desc("score"), F.desc("member")] if reverse else ["score", "member"]
-    return zsets.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1)
+    return numbered(zsets, ["key"], score_order(reverse))
 
 
 def zrange(zsets: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
-    """ZRANGE, ZREVRANGE by rank. A range that both ends count from the front prunes to top-k rows before the sort."""
-    rows = zrank(zsets, reverse)
+    """ZRANGE, ZREVRANGE by rank. A range whose ends both count from the front is cut to its first rows in every task."""
     if start >= 0 and stop >= 0:
-        return rows.where((F.col("rank") >= start) & (F.col("rank") <= stop))
-    sizes = summary(zsets, "_n")
+        return firsts(zsets, ["key"], score_order(reverse), stop + 1).where(F.col("rank") >= start)
     first, last = index_range(F.col("_n"), start, stop)
-    return rows.join(sizes, "key").where((F.col("rank") >= first) & (F.col("rank") <= last)).drop("_n")
+    rows = with_count(zrank(zsets, reverse), ["key"], "_n")
+    return rows.where((F.col("rank") >= first) & (F.col("rank") <= last)).drop("_n")
 
 
 def score_bound(text: str) -> tuple[float, bool]:
@@ -220,8 +215,7 @@ def in_members(low: str, high: str, member: str = "member") -> Column:
 
 def limited(rows: DataFrame, order: list[Column], offset: int, count: int) -> DataFrame:
     """LIMIT offset count within each key."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)) - 1)
-    return ranked.where((F.col("rank") >= offset) & (F.col("rank") < offset + count))
+    return firsts(rows, ["key"], order, offset + count).where(F.col("rank") >= offset)
 
 
 def zalgebra(zsets: DataFrame, op: str, keys: list[str], weights: list[float] | None = None, aggregate: str = "sum") -> DataFrame:

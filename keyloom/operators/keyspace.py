@@ -6,10 +6,12 @@ so a hot key costs each task one row. ``now`` is a parameter everywhere: results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.values import glob
+from keyloom.operators.ordering import numbered
+from keyloom.sources.shared import checkpointed
 
 #: How each type of value is kept.
 ENCODINGS = {"string": "raw", "hash": "hashtable", "list": "quicklist", "set": "hashtable", "zset": "skiplist", "geo": "skiplist", "stream": "stream"}
@@ -43,15 +45,28 @@ def upsert_all_or_none(state: DataFrame, new: DataFrame, keys: list[str]) -> Dat
 
 def swap_values(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """GETSET: each write with the value it replaced."""
-    return log.withColumn("old", F.lag("value").over(Window.partitionBy(key).orderBy(seq)))
+    rows = checkpointed(numbered(log, [key], [seq], "_i"))
+    old = rows.select(key, (F.col("_i") + 1).alias("_i"), F.col("value").alias("old"))
+    return rows.join(old, [key, "_i"], "left").drop("_i")
 
 
 def appended(log: DataFrame, seq: str = "seq") -> DataFrame:
-    """APPEND: parts joined in order."""
+    """APPEND: parts joined in order; a value is one cell, so it has to fit a row. ``append_places`` has no such bound."""
     parts = F.array_sort(F.collect_list(F.struct(seq, "value")))
     return log.groupBy("key").agg(F.array_join(F.transform(parts, lambda p: p["value"]), "").alias("value"))
 
 
+def append_places(log: DataFrame, seq: str = "seq") -> DataFrame:
+    """APPEND without building the values: each part with its byte offset, and the reply, the length after it."""
+    rows = numbered(log, ["key"], [seq], "_i", {"length": F.octet_length("value").cast("long")})
+    return rows.withColumn("at", F.col("length") - F.octet_length("value")).drop("_i")
+
+
+def running(log: DataFrame, delta: str = "delta", seq: str = "seq", name: str = "value") -> DataFrame:
+    """INCRBY and its kin, reply by reply: each step with the counter after it."""
+    return numbered(log, ["key"], [seq], "_i", {name: F.col(delta)}).drop("_i")
+
+
 def counted(log: DataFrame, delta: str = "delta", keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """INCR, DECR, INCRBY, INCRBYFLOAT, HINCRBY: sums of the steps; a key that is absent starts at 0."""
     return log.groupBy(*keys).agg(F.sum(delta).alias("value"))
@@ -184,27 +199,8 @@ def persist(state: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def victims(state: DataFrame, needed: int, policy: str) -> DataFrame:
-    """Keys to evict until ``needed`` bytes are free: lru (ties: larger first), lfu, or ttl; ties by key at last.
-
-    Candidates are cut to the ranks that can matter by a histogram of the order first, so no task sorts all keys.
-    """
-    order = {"lru": F.col("last_access"), "lfu": F.col("frequency"), "ttl": F.col("expires_at")}[policy]
-    rows = state.withColumn("_o", order.cast("double"))
-    rows = rows.where(F.col("_o").isNotNull()) if policy == "ttl" else rows
-    least = rows.groupBy("_o").agg(F.sum("size").alias("_s"))
-    low = least.agg(F.min("_o").alias("a"), F.max("_o").alias("b")).first()
-    if low["a"] is None:
-        return state.limit(0).withColumn("freed", F.lit(0).cast("long"))
-    width = (low["b"] - low["a"]) / 1024 or 1.0
-    step = F.least(F.floor((F.col("_o") - low["a"]) / width), F.lit(1023))
-    sums = sorted((r["k"], r["s"]) for r in least.groupBy(step.alias("k")).agg(F.sum("_s").alias("s")).collect())
-    held, last = 0, sums[-1][0]
-    for k, s in sums:
-        held += s
-        if held >= needed:
-            last = k
-            break
-    near = rows.where(step <= last)
-    by = Window.orderBy("_o", F.desc("size"), "key")
-    freed = F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return near.withColumn("freed", freed).where(F.col("freed") - F.col("size") < needed).drop("_o")
+    """Keys to evict until ``needed`` bytes are free: lru (ties: larger first), lfu, or ttl; ties by key at last."""
+    first = {"lru": "last_access", "lfu": "frequency", "ttl": "expires_at"}[policy]
+    rows = state.where(F.col(first).isNotNull()) if policy == "ttl" else state
+    ranked = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col(first), F.desc("size"), F.col("key")], "rank", {"freed": F.col("size")})
+    return ranked.where(F.col("freed") - F.col("size") < needed).drop("_all")
