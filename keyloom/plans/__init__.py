@@ -1 +1,3 @@
-"""Registered queries over the test tables, each with its oracle SQL where SQL can state it."""
+"""Registered queries: each operator over the test tables, with the same rows stated in DuckDB SQL where SQL can."""
+
+from keyloom.plans import bits, containers, keys, locks, places, scored, search, streams, vectors  # noqa: F401
