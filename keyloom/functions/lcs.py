@@ -45,5 +45,5 @@ def with_lcs(pairs: DataFrame, a: str, b: str, name: str = "lcs") -> DataFrame:
                 texts.append("".join((x or "")[s : e + 1] for s, e, _, _ in ranges(x or "", y or "")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(t) for t in texts], pa.int32()), pa.array(texts, pa.string())], names=[*batch.schema.names, f"{name}_len", name])
 
-    schema = type(pairs.schema)(list(pairs.schema.fields)).add(f"{name}_len", "int").add(name, "string")
+    schema = type(pairs.schema)(list(pairs.schema.fields)).add(f"{name}_len", "integer").add(name, "string")
     return pairs.mapInArrow(run, schema)

@@ -58,9 +58,9 @@ def bitop(bits: DataFrame, op: str, keys: list[str]) -> DataFrame:
 
 def to_binary(bits: DataFrame, width: int) -> DataFrame:
     """The first ``width`` bits (a multiple of 8) of each key as a binary value."""
-    byte = bits.where(F.col("off") < width).groupBy("key", F.floor(F.col("off") / 8).alias("_at")).agg(F.sum(F.shiftleft(F.lit(1), (7 - F.col("off") % 8).cast("int"))).alias("_b"))
+    byte = bits.where(F.col("off") < width).groupBy("key", F.floor(F.col("off") / 8).alias("_at")).agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), (7 - F.col("off") % 8).cast("int"))).alias("_b"))
     found = byte.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_at").cast("int"), "_b"))).alias("_m"))
-    digits = F.transform(F.sequence(F.lit(0), F.lit(width // 8 - 1)), lambda k: F.lpad(F.hex(F.coalesce(F.element_at("_m", k), F.lit(0).cast("long"))), 2, "0"))
+    digits = F.transform(F.sequence(F.lit(0), F.lit(width // 8 - 1)), lambda k: F.lpad(F.hex(F.coalesce(F.try_element_at("_m", k), F.lit(0).cast("long"))), 2, "0"))
     return found.select("key", F.unhex(F.array_join(digits, "")).alias("value"))
 
 

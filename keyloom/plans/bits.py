@@ -23,7 +23,7 @@ def setbit_fold(spark, sf_dir):
 @register("getbit", BITS + "SELECT w.key, w.off, (b.off IS NOT NULL)::INT AS bit FROM (SELECT DISTINCT e.event_type AS key, c_custkey AS off FROM customer, (SELECT DISTINCT event_type FROM events) e WHERE c_custkey < 64) w LEFT JOIN b ON b.key = w.key AND b.off = w.off")
 def getbit(spark, sf_dir):
     own = bits(spark, sf_dir)
-    wanted = table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct().select("key", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long").alias("off"))
+    wanted = table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct().select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("off"))
     return bitmaps.getbit(own, wanted)
 
 

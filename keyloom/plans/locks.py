@@ -30,7 +30,7 @@ def queue_stats(spark, sf_dir):
 
 
 #: Every customer holds the resource of its own number and waits for the one that its square leads to.
-W = "WITH RECURSIVE e AS (SELECT c_custkey AS waiter, (c_custkey * c_custkey + 1) % (SELECT count(*) FROM customer) AS holder FROM customer), f AS (SELECT * FROM e WHERE waiter <> holder), c AS (SELECT waiter, holder AS at FROM f UNION SELECT c.waiter, f.holder FROM c JOIN f ON f.waiter = c.at), k AS (SELECT waiter FROM c WHERE waiter = at), g AS (SELECT k.waiter AS client, min(c.at) AS cycle FROM k JOIN c ON c.waiter = k.waiter GROUP BY k.waiter) "
+W = "WITH RECURSIVE e AS (SELECT c_custkey AS waiter, (c_custkey * c_custkey + 1) % (SELECT count(*) FROM customer) AS holder FROM customer), f AS (SELECT * FROM e WHERE waiter <> holder), c AS (SELECT waiter, holder AS node FROM f UNION SELECT c.waiter, f.holder FROM c JOIN f ON f.waiter = c.node), k AS (SELECT waiter FROM c WHERE waiter = node), g AS (SELECT k.waiter AS client, min(c.node) AS cycle FROM k JOIN c ON c.waiter = k.waiter GROUP BY k.waiter) "
 
 
 def graph(spark, sf_dir):

@@ -25,7 +25,7 @@ P = f"WITH {_p('p', 'supplier', 's_suppkey')} "
 FROM_CENTRE = KM.format(a="20.0", b="lat", x="10.0", y="lon")
 
 
-@register("geodist", P + f"SELECT x.member AS a, y.member AS b, round({KM.format(a='x.lat', b='y.lat', x='x.lon', y='y.lon')}, 3) AS km FROM p x JOIN p y ON y.member::BIGINT = x.member::BIGINT + 1")
+@register("geodist", P + f"SELECT x.member AS a, y.member AS b, round(round({KM.format(a='x.lat', b='y.lat', x='x.lon', y='y.lon')}, 4), 3) AS km FROM p x JOIN p y ON y.member::BIGINT = x.member::BIGINT + 1")
 def geodist(spark, sf_dir):
     own = points(spark, sf_dir)
     pairs = own.select("key", F.col("member").alias("a"), (F.col("member").cast("long") + 1).cast("string").alias("b"))

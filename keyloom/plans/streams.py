@@ -13,7 +13,7 @@ from keyloom.plans.registry import register, table
 LAST = NOW - 86_400_000 * 10
 
 X = "WITH t AS (SELECT event_type AS key, event_id, user_id, max(epoch_us(ts) // 1000) OVER (PARTITION BY event_type ORDER BY event_id) AS ms FROM events), x AS (SELECT key, ms, row_number() OVER (PARTITION BY key, ms ORDER BY event_id) - 1 AS seq, event_id, user_id FROM t) "
-D = X + ", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) - 1 AS i FROM x), r AS (SELECT e.key, o_orderkey AS at, 'c' || (o_custkey % 7) AS consumer, (o_orderkey % 4)::BIGINT AS n, {base} + o_orderkey * 1000 AS delivery_ms FROM orders, (SELECT DISTINCT event_type AS key FROM events) e WHERE o_orderkey % 5 = length(e.key) % 5), w AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY at) AS hi FROM r), d AS (SELECT n.key, n.ms, n.seq, w.consumer, w.delivery_ms, 1::INT AS delivery_count, n.i FROM n JOIN w ON n.key = w.key AND n.i >= w.hi - w.n AND n.i < w.hi) ".format(base=LAST)
+D = X + ", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) - 1 AS i FROM x), r AS (SELECT e.key, o_orderkey AS turn, 'c' || (o_custkey % 7) AS consumer, (o_orderkey % 4)::BIGINT AS n, {base} + o_orderkey * 1000 AS delivery_ms FROM orders, (SELECT DISTINCT event_type AS key FROM events) e WHERE o_orderkey % 5 = length(e.key) % 5), w AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY turn) AS hi FROM r), d AS (SELECT n.key, n.ms, n.seq, w.consumer, w.delivery_ms, 1::INT AS delivery_count, n.i FROM n JOIN w ON n.key = w.key AND n.i >= w.hi - w.n AND n.i < w.hi) ".format(base=LAST)
 
 
 def entries(spark, sf_dir):
