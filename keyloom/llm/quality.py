@@ -1,10 +1,10 @@
 """Quality classifier by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are labelled rows outside the held-out third; the unlabelled set is the web text itself, without its
-labels. A first model that tells positives from unlabelled text orders the documents; a low ratio of unlabelled to
-positive mass above any of its thresholds estimates the class prior. The second model minimises the risk
-pi*R_p(+) + max(0, R_u(-) - pi*R_p(-)). Both fit on a bounded sample (the rows with the smallest hashes of their ids);
-scores are given to every row. Features are shares of character and word classes of the whole text.
+labels. A first model that tells positives from unlabelled text orders the documents; a low ratio of the corpus's to the
+positives' mass above any of its thresholds, counted over all documents, estimates the class prior. The second model
+minimises the risk pi*R_p(+) + max(0, R_u(-) - pi*R_p(-)). Both fit on a bounded sample (the rows with the smallest
+hashes of their ids); scores are given to every row. Features are shares of character and word classes of the whole text.
 """
 
 from __future__ import annotations
@@ -60,9 +60,11 @@ class Model:
     bias: float
     prior: float
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights + self.bias
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _sigmoid(self.margin(x))
 
 
 def _descend(gradient, size: int, steps: int, rate: float = 0.05) -> np.ndarray:
@@ -79,28 +81,35 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """A low quantile of the ratios of unlabelled to positive mass at or above a score, for scores that keep most positives."""
-    cuts = np.quantile(positive, np.linspace(0.0, 0.5, 51))
-    p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
-    return float(np.clip(np.quantile(u / p, 0.1), 0.05, 0.99))
+def ready(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.hstack([np.clip((x - mean) / scale, -CLIP, CLIP), np.ones((len(x), 1))])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge: float = 1e-4, prior: float | None = None) -> Model:
-    """The classifier; without positives or unlabelled rows every score is 0.5."""
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
+def separate(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, ridge: float = 1e-4) -> Model:
+    """A logistic model of positives against unlabelled rows, to order documents by."""
     mean, scale = positive.mean(0), np.maximum(positive.std(0), 1e-3)
-    ready = lambda x: np.hstack([np.clip((x - mean) / scale, -CLIP, CLIP), np.ones((len(x), 1))])
-    p, u = ready(positive), ready(unlabelled)
+    p, u = ready(positive, mean, scale), ready(unlabelled, mean, scale)
+    w = _descend(lambda w: -p.T @ _sigmoid(-p @ w) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + ridge * w, p.shape[1], steps)
+    return Model(mean, scale, w[:-1], float(w[-1]), 0.5)
+
+
+def thresholds(margins: np.ndarray) -> np.ndarray:
+    """Margins that keep from all to half of the positives."""
+    return np.quantile(margins, np.linspace(0.0, 0.5, 51))
 
-    def told_apart(w: np.ndarray) -> np.ndarray:
-        return -p.T @ _sigmoid(-p @ w) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + ridge * w
 
-    if prior is None:
-        first = _descend(told_apart, p.shape[1], steps)
-        prior = estimate_prior(p @ first, u @ first)
+def estimate_prior(positive: np.ndarray, share_above: np.ndarray) -> float:
+    """A low quantile of the ratios of the corpus's to the positives' share at or above each threshold."""
+    own = np.array([(positive >= c).mean() for c in thresholds(positive)])
+    return float(np.clip(np.quantile(share_above / own, 0.1), 0.05, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, ridge: float = 1e-4) -> Model:
+    """The classifier of least non-negative unbiased risk; without positives or unlabelled rows every score is 0.5."""
+    if not len(positive) or not len(unlabelled):
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), 0.0, 0.5)
+    mean, scale = positive.mean(0), np.maximum(positive.std(0), 1e-3)
+    p, u = ready(positive, mean, scale), ready(unlabelled, mean, scale)
 
     def risk(w: np.ndarray) -> np.ndarray:
         zp, zu = p @ w, u @ w
@@ -129,15 +138,40 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return np.array(sorted(found)) if found else np.zeros((0, FEATURES))
 
 
+def shares_above(docs: DataFrame, model: Model, cuts: np.ndarray, text_col: str = "text") -> np.ndarray:
+    """Share of all documents with a margin at or above each cut; a task sends one row of counts."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        above, n = np.zeros(len(cuts), np.int64), 0
+        for part in slices(batches):
+            if part.num_rows:
+                margins = np.sort(model.margin(np.array([features(t) for t in part.column(0).to_pylist()])))
+                above += len(margins) - np.searchsorted(margins, cuts)
+                n += len(margins)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts) + 1), pa.int32()), pa.array([*above.tolist(), n], pa.int64())], names=["cut", "n"])
+
+    rows = docs.select(docs[text_col].alias("text")).mapInArrow(run, "cut int, n long").groupBy("cut").agg(F.sum("n").alias("n")).collect()
+    held = {r["cut"]: r["n"] for r in rows}
+    return np.array([held.get(k, 0) for k in range(len(cuts))]) / max(1, held.get(len(cuts), 0))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> Model:
-    """Fits on at most ``positives`` trusted rows and ``unlabelled`` rows of the corpus, those with the smallest hashes."""
+    """Fits on at most ``positives`` trusted rows and ``unlabelled`` rows of the corpus, those with the smallest hashes.
+
+    The class prior is estimated over all documents.
+    """
     ids = docs.select(docs[id_col].alias("id"))
     order = lambda seed: F.xxhash64(F.col("id"), F.lit(seed))
     trusted = labels.where((labels["quality"] == 1) & ~held_out(labels[id_col])).select(labels[id_col].alias("id")).distinct().orderBy(order(1), "id").limit(positives)
     crowd = ids.where("id IS NOT NULL").orderBy(order(2), "id").limit(unlabelled)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     pick = lambda chosen: _matrix(texts.join(F.broadcast(chosen.distinct()), "id", "left_semi").select("text"))
-    return fit(pick(trusted), pick(crowd))
+    p, u = pick(trusted), pick(crowd)
+    if not len(p) or not len(u):
+        return fit(p, u, 0.5)
+    first = separate(p, u)
+    margins = first.margin(p)
+    return fit(p, u, estimate_prior(margins, shares_above(docs, first, thresholds(margins), text_col)))
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
