@@ -9,7 +9,7 @@ from keyloom.plans.registry import register, table
 
 V = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, {score} AS score FROM v a, v b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) - 1 AS rank FROM s) SELECT query, neighbour, round(score, 5) AS score, rank::BIGINT AS rank FROM r WHERE rank < 10"
 #: Cells of the inverted file, and cells that a query probes.
-CELLS, PROBES = 16, 8
+CELLS, PROBES = 16, 12
 
 
 def _knn(name, metric, score):
