@@ -19,6 +19,24 @@ from keyloom.operators.ordering import firsts
 K1, B = 1.2, 0.75
 
 
+def from_hashes(hashes: DataFrame, prefixes: list[str], fields: dict[str, str], separator: str = ",") -> DataFrame:
+    """FT.CREATE ON HASH: a row for each hash whose key has one of the prefixes, its fields by kind.
+
+    ``text`` stays; ``numeric`` becomes a double, null where it is none; ``tag`` an array of trimmed, non-empty tags;
+    ``vector`` an array of floats from numbers between commas or blanks, null where any is none.
+    """
+    own = hashes.where(reduce(Column.__or__, (F.col("key").startswith(p) for p in prefixes)) if prefixes else F.lit(True))
+    wide = own.groupBy(F.col("key").alias("doc_id")).pivot("field", list(fields)).agg(F.first("value"))
+    numbers = lambda c: F.transform(F.split(F.trim(c), "[, ]+"), lambda x: x.try_cast("float"))
+    made = {
+        "text": lambda c: F.col(c),
+        "numeric": lambda c: F.col(c).try_cast("double"),
+        "tag": lambda c: F.filter(F.transform(F.split(F.col(c), f"[{separator}]"), lambda t: F.trim(t)), lambda t: t != ""),
+        "vector": lambda c: F.when(~F.exists(numbers(F.col(c)), lambda x: x.isNull()), numbers(F.col(c))),
+    }
+    return wide.select("doc_id", *(made[kind](name).alias(name) for name, kind in fields.items()))
+
+
 @dataclass
 class TextIndex:
     """Postings with the document's length, frequencies of terms, and sizes of fields."""

@@ -111,3 +111,8 @@ def stream_info(entries: DataFrame) -> DataFrame:
     """XLEN and XINFO STREAM: length, first and last id."""
     own = F.struct("ms", "seq")
     return entries.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min(own).alias("first"), F.max(own).alias("last"))
+
+
+def consumers(pending: DataFrame, now: int) -> DataFrame:
+    """XINFO CONSUMERS: what each consumer has pending, and how long ago it was last given an entry."""
+    return pending.groupBy("key", "consumer").agg(F.count(F.lit(1)).alias("pending"), (F.lit(now) - F.max("delivery_ms")).alias("idle"))

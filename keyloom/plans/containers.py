@@ -172,3 +172,23 @@ def sort_num_limit(spark, sf_dir):
 def lmove(spark, sf_dir):
     moved = ops.moved_elements(lists(spark, sf_dir), "4", "5", from_left=False, to_left=True)
     return ops.indexed(moved).select("key", F.col("i").cast("long").alias("i"), "value")
+
+
+@register("hincrbyfloat", "SELECT o_custkey::VARCHAR AS key, o_orderstatus AS field, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders GROUP BY ALL")
+def hincrbyfloat(spark, sf_dir):
+    log = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderstatus").alias("field"), F.col("o_totalprice").cast("decimal(18,2)").alias("delta"))
+    return keyspace.counted(log, "delta", ("key", "field")).withColumn("value", F.col("value").cast("double"))
+
+
+@register("rpushx", L + ", t AS (SELECT key, pos, value FROM l UNION ALL SELECT DISTINCT key, 1000000000000 AS pos, 'x' AS value FROM l) SELECT key, (row_number() OVER (PARTITION BY key ORDER BY pos) - 1)::BIGINT AS i, value FROM t")
+def rpushx(spark, sf_dir):
+    new = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.lit(0).alias("seq"), F.lit("x").alias("value"))
+    grown = ops.pushed(lists(spark, sf_dir), new, only_existing=True)
+    return ops.indexed(grown).select("key", F.col("i").cast("long").alias("i"), "value")
+
+
+@register("conversation_lists", "SELECT conv_id::VARCHAR AS key, count(*)::BIGINT AS n, arg_max(role, turn) AS last_role FROM conversations GROUP BY ALL")
+def conversation_lists(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("value"))
+    tail = ops.popped(rows, 1, [F.desc("pos")]).select("key", F.col("value").alias("last_role"))
+    return ops.summary(rows).join(tail, "key")

@@ -276,3 +276,13 @@ def keyslot(spark, sf_dir):
 def slot_stats(spark, sf_dir):
     slots = table(spark, sf_dir, "customer").select(values.slot(F.col("c_name")).cast("long").alias("slot"))
     return slots.groupBy(F.floor(F.col("slot") / 1024).cast("long").alias("node")).agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("slot").alias("slots"))
+
+
+@register("dbsize", E + f"SELECT count(*)::BIGINT AS n FROM k WHERE expires_at IS NULL OR expires_at > {NOW}")
+def dbsize(spark, sf_dir):
+    return ops.live(users(spark, sf_dir), NOW).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("dump_restore", C + "SELECT * FROM c")
+def dump_restore(spark, sf_dir):
+    return snapshot.restored(snapshot.dumped(strings(spark, sf_dir)), "key string, value string")

@@ -67,3 +67,18 @@ def geo_radius_join(spark, sf_dir):
     centres = points(spark, sf_dir).select(F.col("member").alias("centre"), "lon", "lat")
     found = geo.radius_join(points(spark, sf_dir, "customer", "c_custkey"), centres, 500, "km")
     return found.withColumn("dist", F.round("dist", 3))
+
+
+@register("geopos", P + "SELECT w.pos::INT AS pos, w.member, p.lon, p.lat FROM (VALUES (0, '3'), (1, 'missing'), (2, '1')) w(pos, member) LEFT JOIN p USING (member)")
+def geopos(spark, sf_dir):
+    from keyloom.operators.keyspace import ordered_get
+
+    return ordered_get(points(spark, sf_dir).select("member", "lon", "lat"), ["3", "missing", "1"], "member").select("pos", "member", "lon", "lat")
+
+
+@register("geoadd_xx", P + "SELECT member, CASE WHEN member::BIGINT < 10 THEN 1.5 ELSE lon END AS lon, CASE WHEN member::BIGINT < 10 THEN 2.5 ELSE lat END AS lat FROM p")
+def geoadd_xx(spark, sf_dir):
+    own = points(spark, sf_dir)
+    new = own.where("CAST(member AS BIGINT) < 10").withColumns({"lon": F.lit(1.5), "lat": F.lit(2.5)})
+    absent = new.withColumn("member", F.concat(F.lit("new"), "member"))
+    return geo.geoadd(own, new.unionByName(absent), "xx").select("member", "lon", "lat")

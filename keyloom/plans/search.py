@@ -94,3 +94,11 @@ def ft_compound_or(spark, sf_dir):
 @register("ft_sortby", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 5")
 def ft_sortby(spark, sf_dir):
     return ops.sort_by(_docs(spark, sf_dir), F.col("n_chars"), True, 10, 5).select("doc_id", "n_chars")
+
+
+@register("ft_index_hashes", "SELECT 'customer:' || c_custkey AS doc_id, c_name AS name, c_nationkey::DOUBLE AS nation, c_mktsegment AS segment FROM customer WHERE c_custkey::VARCHAR LIKE '1%' OR c_custkey::VARCHAR LIKE '2%'")
+def ft_index_hashes(spark, sf_dir):
+    from keyloom.plans.containers import hashes
+
+    found = ops.from_hashes(hashes(spark, sf_dir), ["customer:1", "customer:2"], {"name": "text", "nation": "numeric", "segment": "tag"})
+    return found.withColumn("segment", F.array_join("segment", ","))

@@ -135,3 +135,30 @@ def pubsub_recipients(spark, sf_dir):
 @register("pubsub_numsub", M + "SELECT channel, count(DISTINCT client)::BIGINT AS clients FROM s GROUP BY channel")
 def pubsub_numsub(spark, sf_dir):
     return pubsub.subscribers(messages(spark, sf_dir)[1])
+
+
+@register("xack", D + ", a AS (SELECT key, ms, seq FROM d WHERE ms % 7 = 0) SELECT key, ms, seq::BIGINT AS seq, consumer FROM d WHERE ms % 7 <> 0")
+def xack(spark, sf_dir):
+    from keyloom.operators.keyspace import removed
+
+    found = delivered(spark, sf_dir)[1]
+    acks = entries(spark, sf_dir).where("ms % 7 = 0").select("key", "ms", "seq")
+    return removed(found, acks, ["key", "ms", "seq"]).select("key", "ms", "seq", "consumer")
+
+
+@register("xinfo_consumers", D + f"SELECT key, consumer, count(*)::BIGINT AS pending, ({NOW} - max(delivery_ms))::BIGINT AS idle FROM d GROUP BY ALL")
+def xinfo_consumers(spark, sf_dir):
+    return ops.consumers(delivered(spark, sf_dir)[1], NOW)
+
+
+@register("xdel", X + "SELECT key, ms, seq::BIGINT AS seq FROM x WHERE ms % 10 <> 3")
+def xdel(spark, sf_dir):
+    from keyloom.operators.keyspace import removed
+
+    own = entries(spark, sf_dir).select("key", "ms", "seq")
+    return removed(own, own.where("ms % 10 = 3"), ["key", "ms", "seq"])
+
+
+@register("xinfo_stream", X + "SELECT key, count(*)::BIGINT AS length, min(ms) AS first_ms, max(ms) AS last_ms FROM x GROUP BY key")
+def xinfo_stream(spark, sf_dir):
+    return ops.stream_info(entries(spark, sf_dir)).select("key", "length", F.col("first.ms").alias("first_ms"), F.col("last.ms").alias("last_ms"))

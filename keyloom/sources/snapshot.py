@@ -67,3 +67,14 @@ def keyspace_info(tables: dict[str, DataFrame], now: int) -> DataFrame:
     rows = reduce(DataFrame.unionByName, (t.select("db", "key", "expires_at").distinct() for t in tables.values()))
     alive = rows.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
     return alive.groupBy("db").agg(F.count(F.lit(1)).alias("keys"), F.count("expires_at").alias("expires"), F.coalesce(F.floor(F.avg(F.col("expires_at") - now)), F.lit(0)).cast("long").alias("avg_ttl"))
+
+
+def dumped(rows: DataFrame) -> DataFrame:
+    """DUMP: key and one JSON text of its row, which RESTORE reads back by the schema."""
+    return rows.select("key", F.to_json(F.struct(*rows.columns)).alias("dump"))
+
+
+def restored(dumps: DataFrame, schema: str) -> DataFrame:
+    """RESTORE: rows of the dumps that have the schema's form; a broken dump gives no row."""
+    rows = dumps.select(F.from_json("dump", schema).alias("r")).where("r.key IS NOT NULL")
+    return rows.select("r.*")

@@ -181,6 +181,20 @@ def test_log_replay_compaction_and_snapshot(spark, tmp_path):
     assert snapshot.load(spark, f"{tmp_path}/snap", ["strings"])["strings"].where("db = 1").count() == 1
 
 
+def test_dump_and_restore(spark):
+    rows = spark.createDataFrame([("a", "x\n\"é", 5), ("b", None, None)], "key string, value string, expires_at long")
+    dumps = snapshot.dumped(rows)
+    assert sorted(map(tuple, snapshot.restored(dumps, "key string, value string, expires_at long").collect())) == sorted(map(tuple, rows.collect()))
+    assert snapshot.restored(dumps.withColumn("dump", F.lit("{broken")), "key string").count() == 0
+
+
+def test_documents_of_hashes(spark):
+    h = spark.createDataFrame([("doc:1", "t", "Hello"), ("doc:1", "n", "4.5"), ("doc:1", "g", " a,,b "), ("doc:1", "v", "1, -2.5,3"), ("doc:2", "n", "x"), ("doc:2", "v", "1 x"), ("other", "t", "no")], "key string, field string, value string")
+    found = {r["doc_id"]: r for r in search.from_hashes(h, ["doc:"], {"t": "text", "n": "numeric", "g": "tag", "v": "vector"}).collect()}
+    assert set(found) == {"doc:1", "doc:2"}
+    assert tuple(found["doc:1"])[1:] == ("Hello", 4.5, ["a", "b"], [1.0, -2.5, 3.0]) and tuple(found["doc:2"])[1:] == (None, None, None, None)
+
+
 def test_transactions(spark):
     tables = {"strings": spark.createDataFrame([("a", "1"), ("b", "2")], "key string, value string")}
     put = lambda k, v: lambda t: {"strings": keyspace.upsert(t["strings"], spark.createDataFrame([(k, v)], "key string, value string"), ["key"])}
