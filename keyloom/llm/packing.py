@@ -36,10 +36,12 @@ def token_ids(path: str):
     def alone(text: str) -> bytes:
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    # words with other punctuation after them share their letters, which are fewer and so are kept for longer
+    cores = lookup(f"cores {path}", lambda wanted: ids_between(path, wanted, "|", " | "))
+
     def many(groups: list[str]) -> list[bytes]:
         split = two_parts(groups)
-        wanted = list({x for pair in split for x in pair if x})
-        ids = dict(zip(wanted, ids_between(path, wanted, "|", " | "), strict=True))
+        ids = cores.learn({x for pair in split for x in pair if x})
         return [ids[core] + ids[tail] if tail else ids[core] for core, tail in split]
 
     known = lookup(f"ids {path}", many)
