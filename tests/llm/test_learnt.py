@@ -263,5 +263,5 @@ def test_pipeline_stages_take_effect(spark, corpus):
     before, after = held["pii"]
     assert "mail [EMAIL]" in after[5000]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, corpus)
-    assert Counter(r["doc_id"] for r in packed.where("piece = 0").collect()) == Counter(after)
+    assert Counter(r["doc_id"] for r in packed.where("piece = 0").collect()) == Counter(list(after))
     assert sorted(map(tuple, corpus_pipeline.run(spark, corpus).drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
