@@ -28,8 +28,8 @@ BLOCK_WORDS = 2_000_000
 #: A document of which more than this share of words is hit is dropped whole; otherwise hit spans are cut.
 DROP_SHARE = 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: The words in text form, for cutting spans: the complement of the ASCII separators.
-WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The words in text form, in either case, for cutting spans: the complement of the ASCII separators.
+WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def windows(words: list[bytes], n: int = WINDOW) -> list[tuple[bytes, ...]]:

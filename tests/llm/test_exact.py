@@ -110,10 +110,11 @@ def test_contamination_against_brute_force(spark, monkeypatch, block):
 
 def test_decontaminate_cuts_spans_and_keeps_clean_rows(spark):
     item = cases.prose(6, 12)
-    docs = cases.docs(spark, [(1, cases.prose(30, 80)), (2, f"{cases.prose(31, 60)} {item} {cases.prose(32, 60)}"), (3, item), (4, None), (5, "")])
+    docs = cases.docs(spark, [(1, cases.prose(30, 80)), (2, f"{cases.prose(31, 60)} {item} {cases.prose(32, 60)}"), (3, item), (4, None), (5, ""), (6, f"{cases.prose(33, 60).title()}. {item.upper()}. {cases.prose(34, 60).upper()}")])
     out = by_id(decontam.decontaminate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")))
     before = by_id(docs)
-    assert set(out) == {1, 2, 4, 5} and all(out[k]["text"] == before[k]["text"] for k in (1, 4, 5))
+    assert brute_contamination(out[6]["text"], [(1, item)])[1] == 0 and out[6]["text"].startswith(cases.prose(33, 60).title()) and out[6]["text"].endswith(cases.prose(34, 60).upper())
+    assert set(out) == {1, 2, 4, 5, 6} and all(out[k]["text"] == before[k]["text"] for k in (1, 4, 5))
     assert brute_contamination(out[2]["text"], [(1, item)])[1] == 0 and cases.prose(32, 60) in out[2]["text"]
     assert out[2]["n_chars"] == len(out[2]["text"]) and out[2].asDict().keys() == before[2].asDict().keys()
 
