@@ -5,8 +5,8 @@ bands of five (a pair at similarity 0.75 shares no band once in 400,000), and, f
 odd sketch: the number of ones in the XOR of two sketches tells a high similarity closely.
 
 Buckets are never expanded into all pairs. Each node first meets only the two hubs (least ids of its buckets) with
-which it shares most bands; links are decided on the full sets, and classes formed. What is left are pairs of one bucket
-in different classes. For the documents of such buckets those shingles are counted that some document of another class
+which it shares most bands; links are decided on the full sets, and linked nodes take the hub's label. Two more rounds
+do so with other hubs, for nodes with other labels. What is left are pairs of one bucket with different labels. For the documents of such buckets those shingles are counted that some document of another class
 has as well: a link to another class can only hold these, and that bound together with the sketches sifts pairs inside
 the join; the survivors, however many, are decided on the full sets and classes formed anew.
 """
@@ -29,8 +29,8 @@ PERCENT = 75
 BANDS, ROWS = 48, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Hubs that a node meets before classes are formed the first time; the rest is met afterwards.
-HUBS = 2
+#: Hubs that a node meets in a round, and rounds before the rest is met.
+HUBS, ROUNDS = 2, 3
 #: Bits of the map that spares most texts without candidates the exchange; its size is fixed, it only sifts.
 BITS = 1 << 23
 COLUMNS = 4096
@@ -236,21 +236,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = some.join(firsts.select(F.col("id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_semi")
     nodes = checkpointed(nodes.select(F.col("doc_id").alias("id"), "n", "sketch", "bands"))
     placed = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").drop("_last")
+    shared = placed.groupBy("bucket").agg(F.min("id").alias("_first"), F.max("id").alias("_last")).where("_first < _last").select("bucket")
     members = checkpointed(placed.join(shared, "bucket"))
-
-    # Links with the nearest hubs.
-    meets = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("together"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("together"), "hub"))
-    star = meets.withColumn("_r", rank).where(F.col("_r") <= HUBS).select(F.col("hub").alias("a"), F.col("id").alias("b"))
     small = nodes.select("id", "n", "sketch")
     of = lambda side: small.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    sifted = star.join(of("a"), "a").join(of("b"), "b").where(sketches_close(F.col("s_a"), F.col("s_b")) & sizes_allow(F.least("n_a", "n_b")))
-    links = checkpointed(decided(sifted.select("a", "b"), texts))
-    first = classes(links)
+
+    # Links with the nearest hubs, other ones each round; a linked node takes the least label that it meets. Equal
+    # labels are joined by links, so pairs within them need no test.
+    classed, links, labels = members.withColumn("component", F.col("id")), None, None
+    for number in range(ROUNDS):
+        place = F.struct(F.xxhash64("id", F.lit(number)) if number else F.col("id"), F.col("id"))
+        hubs = classed.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), place).alias("hub"), F.min("component").alias("_a"), F.max("component").alias("_b"))
+        hubs = hubs.where("_a < _b").select("bucket", F.col("hub.id").alias("hub"), F.col("hub.component").alias("_c"))
+        meets = classed.join(hubs, "bucket").where("component <> _c").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("together"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("together"), "hub"))
+        star = meets.withColumn("_r", rank).where(F.col("_r") <= HUBS).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        sifted = star.join(of("a"), "a").join(of("b"), "b").where(sketches_close(F.col("s_a"), F.col("s_b")) & sizes_allow(F.least("n_a", "n_b")))
+        held = checkpointed(decided(sifted.select("a", "b"), texts))
+        links = held if links is None else links.union(held)
+        told = held.select(F.col("b").alias("id"), F.col("a").alias("component"))
+        if labels is not None:
+            of_hubs = labels.select(F.col("id").alias("_h"), F.col("component").alias("_c"))
+            told = told.join(of_hubs, F.col("component") == F.col("_h"), "left").select("id", F.coalesce("_c", "component").alias("component")).union(labels)
+        labels = checkpointed(told.groupBy("id").agg(F.min("component").alias("component")))
+        classed = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
 
     # Pairs of one bucket that are in different classes still.
-    classed = members.join(first, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     counts = classed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_members = checkpointed(classed.join(main.drop("parts"), "bucket"))
