@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and terms that give the found values away by their co-occurrence in the corpus.
 
-Values of the four base kinds are the protected entities. For every entity e and every term t within a few words of it,
-corpus counts of documents give PMI(e; t) = log2(N * n(e,t) / (n(e) * n(t))), and IC(e) = -log2(n(e) / N). A term
-that tells most of an entity's information, PMI >= theta * IC, with enough documents behind it, is a span as well and
-is generalised with the value it stands beside. Counts are over all documents; terms' document counts are taken only
-for terms that can still pass, through a bitmap of fixed size, and joined exactly afterwards.
+Values of the four base kinds are the protected entities. For every entity e and every term t of a document that holds
+it, corpus counts of documents give PMI(e; t) = log2(N * n(e,t) / (n(e) * n(t))), and IC(e) = -log2(n(e) / N). A term
+that tells most of an entity's information, PMI >= theta * IC, in ``min_support`` documents at least, is a span as well
+and is generalised in the documents that it shares with the value. Counts are over all documents.
+
+As n(e,t) <= n(e), only terms with n(t) <= n(e)**theta * N**(1 - theta) can pass; others are sifted out without loss.
+Values that stand in the same documents have the same counts with every term, and so have such terms: pairs are made of
+classes of them, so a document of many values seen once and many words seen once gives one pair.
 """
 
 from __future__ import annotations
@@ -29,10 +32,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile("[0-9]")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-#: Words on each side of a value that may disclose it, and the longest such term.
-CONTEXT_WORDS = 6
-TERM_CHARS = 64
-#: Documents that must hold value and term, and the share of the value's information that a term may tell.
+#: Documents that must hold value and term where the caller does not say, and the share of the value's information that a term may tell.
 MIN_SUPPORT = 3
 THETA = 0.9
 #: Bits of the map that preselects terms for counting; more terms only make it select less sharply.
@@ -115,53 +115,52 @@ def term_hash(word: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(alnum_words(word)[0]))
 
 
-def context(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """(entity, term, start, end, first of its pair) for the words beside each value that are in no value themselves."""
-    out, pairs = [], set()
-    covered = sorted((s, e) for _, s, e in spans)
-    for kind, start, end in spans:
-        entity = _signed(xxhash.xxh3_64_intdigest(f"{kind}:{text[start:end].lower()}".encode()))
-        edge = max(0, start - CONTEXT_WORDS * (TERM_CHARS + 8))
-        near = [m.span() for m in WORD.finditer(text, edge, start)][-CONTEXT_WORDS:]
-        near = [x for x in near if x[0] > edge or edge == 0]
-        for m in WORD.finditer(text, end):
-            if len(near) >= 2 * CONTEXT_WORDS or m.start() > end + CONTEXT_WORDS * (TERM_CHARS + 8):
-                break
-            near.append(m.span())
-        for s, e in near:
-            if e - s <= TERM_CHARS and not any(a < e and s < b for a, b in covered):
-                term = term_hash(text[s:e])
-                out.append((entity, term, s, e, (entity, term) not in pairs))
-                pairs.add((entity, term))
+def entity_hash(kind: str, value: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(f"{kind}:{value.lower()}".encode()))
+
+
+def open_words(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that no value touches, in order."""
+    values = iter([*sorted((s, e) for _, s, e in spans), (len(text) + 1, 0)])
+    start, end = next(values)
+    out, edge = [], 0
+    for m in WORD.finditer(text):
+        while start < m.end():
+            edge = max(edge, end)
+            start, end = next(values)
+        if m.start() >= edge:
+            out.append(m.span())
     return out
 
 
 def found_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, text_hash, counts by kind, the base spans, the entities, and the words beside them."""
-    schema = "doc_id long, text_hash long, counts array<long>, base string, base_sha256 string, entities array<long>, near array<struct<e:long,t:long,s:int,x:int,first:boolean>>"
-    near_type = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("x", pa.int32()), ("first", pa.bool_())]))
-    keys = ("e", "t", "s", "x", "first")
+    """Per row: doc_id, text_hash, counts by kind, the base spans, the entities, and the text where it has any."""
+    schema = "doc_id long, text_hash long, counts array<long>, base string, base_sha256 string, entities array<long>, held string"
 
     def run(batches):
         for part in slices(batches):
             rows = []
             for text in part.column(2).to_pylist():
                 spans = base_spans(text)
-                near = context(text, spans) if spans else []
                 base = joined(spans)
                 kinds = Counter(k for k, _, _ in spans)
-                rows.append(([kinds[k] for k in KINDS[:4]], base, hashlib.sha256(base.encode()).hexdigest(), sorted({x[0] for x in near}), [dict(zip(keys, x, strict=True)) for x in near]))
+                rows.append(([kinds[k] for k in KINDS[:4]], base, hashlib.sha256(base.encode()).hexdigest(), sorted({entity_hash(k, text[s:e]) for k, s, e in spans}), text if spans else None))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds_of = (pa.list_(pa.int64()), pa.string(), pa.string(), pa.list_(pa.int64()), near_type)
+            kinds_of = (pa.list_(pa.int64()), pa.string(), pa.string(), pa.list_(pa.int64()), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True))],
-                names=["doc_id", "text_hash", "counts", "base", "base_sha256", "entities", "near"],
+                names=["doc_id", "text_hash", "counts", "base", "base_sha256", "entities", "held"],
             )
 
     narrow = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
     return narrow.mapInArrow(run, schema)
 
 
+def _marked(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = hashes % np.uint64(BITS)
+    return (marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _bitmap(terms: DataFrame) -> np.ndarray:
     """The terms' bits; as large as BITS says, whatever the number of terms."""
     bit = F.pmod(F.col("t"), F.lit(BITS))
@@ -172,13 +171,28 @@ def _bitmap(terms: DataFrame) -> np.ndarray:
     return out
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """t, n: documents that hold each term, over all documents; other terms may be among them."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
+def term_rows(texts: DataFrame, marks: np.ndarray | None = None) -> DataFrame:
+    """k, m, t: the distinct terms of each text, of marked ones if marks are given."""
+    bits = None if marks is None else texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        hashes = WordHash()
+        for part in slices(batches):
+            for k, m, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                words = {w for s, e in open_words(text, base_spans(text)) for w in alnum_words(text[s:e])}
+                own = hashes.array(list(words))
+                own = own if bits is None else own[_marked(own, bits.value)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int64)), pa.array(np.full(len(own), m, np.int64)), pa.array(own.view(np.int64))], names=["k", "m", "t"])
+
+    return texts.select("k", "m", "held").mapInArrow(run, "k long, m long, t long")
+
+
+def term_counts(docs: DataFrame, marks: np.ndarray, text_col: str = "text") -> DataFrame:
+    """t, n: documents that hold each marked term, over all documents; other terms may be among them."""
+    bits = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
         hashes, seen = WordHash(), Counter()
-        marks = bits.value
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(np.array(list(seen), np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
@@ -188,8 +202,7 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
         for part in slices(batches):
             for text in part.column(0).to_pylist():
                 own = hashes.array(list(set(alnum_words(text))))
-                at = own % np.uint64(BITS)
-                seen.update(own[(marks[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1].tolist())
+                seen.update(own[_marked(own, bits.value)].tolist())
             if len(seen) > SEEN_ENTRIES:
                 yield flush()
         yield flush()
@@ -198,35 +211,58 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
 
 
 def disclosing(docs: DataFrame, found: DataFrame, total: int, text_col: str = "text", theta: float = THETA, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(e, t) pairs where the term tells at least ``theta`` of the value's information, of ``total`` documents."""
-    pairs = found.select(F.explode("near").alias("p")).where("p.first").groupBy("p.e", "p.t").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_support)
+    """k, terms: by hash of a text with values, the hashes of its terms that tell ``theta`` of one of its values, of ``total`` documents."""
+    texts = found.where(F.size("entities") > 0).groupBy(F.col("text_hash").alias("k")).agg(F.count(F.lit(1)).alias("m"), F.first("entities").alias("entities"), F.first("held").alias("held"))
+    texts = checkpointed(texts)
+    # values and terms by the set of texts they stand in
+    place = F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("place")
+    entities = texts.select("k", "m", F.explode("entities").alias("e"))
+    values = checkpointed(entities.groupBy("e").agg(F.sum("m").alias("n_e"), place))
+    most = values.agg(F.max("n_e")).first()[0] or 0
+    bound = most**theta * max(total, 1) ** (1 - theta) + 1
+    counts = checkpointed(term_counts(docs, _bitmap(term_rows(texts)), text_col).where((F.col("n") <= bound) & (F.col("n") >= min_support)))
+    rows = checkpointed(term_rows(texts, _bitmap(counts)))
+    terms = counts.join(rows.groupBy("t").agg(place), "t").select("t", "n", F.xxhash64("n", "place", F.lit(0)).alias("c_t"))
+    rows = checkpointed(rows.join(terms, "t"))
+    of_values = entities.join(values, "e").select("k", F.xxhash64("n_e", "place", F.lit(1)).alias("c_e"), "n_e").where(F.col("n_e") < total).distinct()
+    pairs = rows.select("k", "m", "c_t", "n").distinct().join(of_values, "k").where(F.col("n") <= F.pow(F.col("n_e").cast("double"), F.lit(theta)) * float(max(total, 1)) ** (1 - theta) + 1)
     pairs = checkpointed(pairs)
-    values = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_e"))
-    counted = pairs.join(term_counts(docs, pairs, text_col), "t").join(values, "e")
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_e") * F.col("n")))
-    return counted.where(pmi >= theta * F.log2(F.lit(float(total)) / F.col("n_e"))).where(F.col("n_e") < total).select("e", "t")
+    told = pairs.groupBy("c_e", "c_t", "n_e", "n").agg(F.sum("m").alias("both")).where(F.col("both") >= min_support)
+    # the slack is rounding: a term that stands with its value and nowhere else tells exactly all of it
+    told = told.where(pmi >= theta * F.log2(F.lit(float(total)) / F.col("n_e")) - 1e-9).select("c_e", "c_t")
+    return rows.join(pairs.join(told, ["c_e", "c_t"]).select("k", "c_t").distinct(), ["k", "c_t"]).groupBy("k").agg(F.collect_set("t").alias("terms"))
+
 
+def term_spans(found: DataFrame, told: DataFrame) -> DataFrame:
+    """doc_id, text_hash, terms: sorted spans (s, x) of disclosing terms in documents that hold their values."""
+
+    def run(batches):
+        for part in slices(batches):
+            out = []
+            for text, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                own = set(own)
+                out.append([{"s": s, "x": e} for s, e in open_words(text, base_spans(text)) if term_hash(text[s:e]) in own])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("x", pa.int32())])))], names=["doc_id", "text_hash", "terms"])
 
-def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, terms: sorted spans (s, x) of disclosing terms beside their values."""
-    near = found.select("doc_id", "text_hash", F.explode("near").alias("p")).select("doc_id", "text_hash", "p.e", "p.t", "p.s", "p.x")
-    hit = near.join(pairs, ["e", "t"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "x")).alias("terms"))
-    return hit.withColumn("terms", F.array_sort("terms"))
+    some = found.where(F.size("entities") > 0).dropDuplicates(["doc_id", "text_hash"])
+    both = some.join(told, F.col("text_hash") == F.col("k")).select("doc_id", "text_hash", "held", told["terms"])
+    return both.mapInArrow(run, "doc_id long, text_hash long, terms array<struct<s:int,x:int>>")
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA, min_support: int = MIN_SUPPORT) -> DataFrame:
     """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Null texts have no spans. Equal rows get equal spans. An empty table gives no rows.
     """
     found = checkpointed(found_rows(docs, id_col, text_col))
-    pairs = disclosing(docs, found, found.count(), text_col, theta)
-    terms = term_spans(found, pairs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "terms")
+    told = disclosing(docs, found, found.count(), text_col, theta, min_support)
+    terms = term_spans(found, told).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), "terms")
     key = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("text_hash").eqNullSafe(F.col("_h"))
-    told = F.array_join(F.transform("terms", lambda p: F.concat_ws(":", F.lit("term"), p["s"], p["x"])), ",")
+    words = F.array_join(F.transform("terms", lambda p: F.concat_ws(":", F.lit("term"), p["s"], p["x"])), ",")
     counts = [F.col("counts")[i].alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
-    both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), told)
-    return found.join(terms, key, "left").select("doc_id", *counts, "base_sha256", both.alias("spans"))
+    both = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, words))
+    return found.drop("held").join(terms, key, "left").select("doc_id", *counts, "base_sha256", both.alias("spans"))
 
 
 def replaced(text: str, found: list[tuple[str, int, int]]) -> str:
@@ -241,10 +277,10 @@ def replaced(text: str, found: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA, length_col: str = "n_chars") -> DataFrame:
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA, length_col: str = "n_chars", min_support: int = MIN_SUPPORT) -> DataFrame:
     """``docs`` with values and disclosing terms generalised. All rows and columns stay; the length column follows the text."""
     found = checkpointed(found_rows(docs, id_col, text_col).where(F.size("entities") > 0))
-    terms = term_spans(found, disclosing(docs, found, docs.count(), text_col, theta)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("terms").alias("_terms"))
+    terms = term_spans(found, disclosing(docs, found, docs.count(), text_col, theta, min_support)).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("terms").alias("_terms"))
     key = docs[id_col].cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(docs[text_col]).eqNullSafe(F.col("_h"))
     both = docs.join(terms, key, "left").drop("_d", "_h")
 

@@ -62,7 +62,7 @@ QUERIES["op6_pu_quality"] = op6_pu_quality
 
 
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.spans(_read(spark, sf_dir, "documents"))
+    return pii.spans(_read(spark, sf_dir, "documents"), min_support=1)
 
 
 QUERIES["op8_pii_disclosure"] = op8_pii_disclosure

@@ -145,6 +145,34 @@ def test_spans_and_disclosing_terms(spark):
     assert pii.spans(cases.empty(spark)).count() == 0
 
 
+def brute_terms(texts, theta):
+    """Spans of disclosing terms by text: every value against every word of all documents."""
+    import math
+
+    held = [(t, {(k, t[s:e].lower()) for k, s, e in brute_spans(t)}, set(common.alnum_words(t)), {w for s, e in pii.open_words(t or "", brute_spans(t)) for w in common.alnum_words(t[s:e])}) for t in texts]
+    n_e, n_t, both = Counter(), Counter(), Counter()
+    for _, values, words, free in held:
+        n_e.update(values)
+        n_t.update(words)
+        both.update((e, w) for e in values for w in free)
+    told = {(e, w) for (e, w), n in both.items() if n_e[e] < len(held) and math.log2(n * len(held) / (n_e[e] * n_t[w])) >= theta * math.log2(len(held) / n_e[e]) - 1e-9}
+    return {t: [(m.start(), m.end()) for m in pii.WORD.finditer(t or "") if not any(s < m.end() and m.start() < e for _, s, e in brute_spans(t)) and any((e, w) in told for e in values for w in common.alnum_words(m[0]))] for t, values, _, _ in held}
+
+
+@pytest.mark.parametrize("theta", [0.5, 0.9])
+def test_terms_of_values_seen_once_or_twice_anywhere_in_the_document(spark, theta):
+    far = f"Rumpelstilz {cases.prose(700, 40)}"
+    rows = [(700, f"{far} once@mail.example.com"), (701, f"Pimpernel {cases.prose(701, 40)} 10.11.12.13"), (702, f"10.11.12.13 {cases.prose(702, 40)} pimpernel"), (703, f"{cases.prose(703, 30)} {'w' * 90} 1.1.1.1 2.2.2.2 1.1.1.1x {cases.prose(704, 30)}")]
+    rows += [(704, rows[-1][1]), (None, rows[0][1]), (705, f"10.11.12.13 1.1.1.1 {cases.prose(705, 9)}")]
+    docs = cases.docs(spark, [*enumerate(cases.texts()), *rows, *((r[0], r[1]) for r in pii_docs(spark).where("doc_id >= 500").collect())])
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    expected, found = brute_terms([t for _, t in texts], theta), {}
+    for r in pii.spans(docs, theta=theta, min_support=1).collect():
+        found.setdefault(r["doc_id"], set()).add(tuple((int(s), int(e)) for s, e in re.findall(r"term:(\d+):(\d+)", r["spans"])))
+    assert all(found[i] == {tuple(expected[t]) for j, t in texts if j == i} for i, _ in texts)
+    assert (0, 11) in expected[rows[0][1]] and (0, 9) in expected[rows[1][1]] and not expected["zanzibar was an island " * 3]
+
+
 def test_sanitise_generalises_and_keeps_the_rest(spark):
     docs = pii_docs(spark)
     before = {r["doc_id"]: r for r in docs.collect()}
