@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import alnum_words, slices
+from keyloom.llm.common import alnum_words, checkpointed, slices
 
 #: Words of a window.
 WINDOW = 10
@@ -127,17 +127,19 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words and no hits; null items and items without words give no n-gram; repeated items
-    count once by their id. With more than one block, document ids must be unique (blocks' hits are joined by id).
+    count once by their id. Rows are told apart by a key of their own, so repeated and null document ids stay single rows
+    whatever the number of blocks.
     """
-    found = [scan(docs, block, id_col, text_col) for block in blocks(items, item_id, item_text)]
-    if len(found) == 1:
-        hit = found[0]
+    own = list(blocks(items, item_id, item_text))
+    if len(own) == 1:
+        hit = scan(docs, own[0], id_col, text_col)
     else:
-        union = found[0]
-        for more in found[1:]:
-            union = union.unionByName(more)
-        some = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        hit = some
+        rows = checkpointed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row")))
+        union = scan(rows, own[0], "row")
+        for block in own[1:]:
+            union = union.unionByName(scan(rows, block, "row").where(F.size("hit") > 0))
+        some = union.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        hit = rows.select("row", "doc_id").join(some, "row")
     return hit.select(
         "doc_id",
         "n_words",

@@ -108,6 +108,16 @@ def test_contamination_against_brute_force(spark, monkeypatch, block):
     assert not any(r["contaminated"] for r in decontam.contamination(docs, items.limit(0)).collect())
 
 
+@pytest.mark.parametrize("block", [5, 10**6])
+def test_contamination_tells_rows_apart_whatever_the_blocks(spark, monkeypatch, block):
+    one, two = cases.prose(5, 14), cases.prose(6, 40)
+    rows = [(1, f"x {one}"), (1, f"{two} y y"), (1, f"{two} y y"), (1, None), (None, f"{one} {two}"), (None, "one two"), (None, None), (2, f"{two} z {one}")]
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (block,))
+    found = decontam.contamination(cases.docs(spark, rows), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    items = [x for x in ITEMS if x[0] is not None and x[1]]
+    assert Counter(map(tuple, found)) == Counter((i, *brute_contamination(t, items)) for i, t in [*rows, rows[-1]])
+
+
 def test_decontaminate_cuts_spans_and_keeps_clean_rows(spark):
     item = cases.prose(6, 12)
     docs = cases.docs(spark, [(1, cases.prose(30, 80)), (2, f"{cases.prose(31, 60)} {item} {cases.prose(32, 60)}"), (3, item), (4, None), (5, ""), (6, f"{cases.prose(33, 60).title()}. {item.upper()}. {cases.prose(34, 60).upper()}")])
