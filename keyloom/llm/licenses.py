@@ -8,6 +8,7 @@ gives the template's label. Phrases are templates too: they occur where their st
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -135,7 +136,7 @@ class Scanner:
             self.outputs[state] = self.outputs[state] + self.outputs[own.link[state]] if own.link[state] else self.outputs[state]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], dict[int, float], list[tuple[int, int, int]]]:
-        """Base places (start, template), the best cover of each template, and the covered spans (template, start, end)."""
+        """Base places (start, template), the best cover of each template, and all covered spans (template, start, end)."""
         known = self.numbers.get
         ids = np.fromiter((known(w, 0) for w in words), np.int64, count=len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids > 0).view(np.int8), [0]))))
@@ -156,11 +157,9 @@ class Scanner:
             self._anchor(anchors, first, *before)
         cover, spans = {}, []
         for template, found in anchors.items():
-            best = self._chain(found)
-            share = best[0] / self.sizes[template]
-            cover[template] = share
-            if share >= MIN_COVER:
-                spans.append((template, best[1], best[2]))
+            best, places = self._chains(found, MIN_COVER * self.sizes[template])
+            cover[template] = best / self.sizes[template]
+            spans += [(template, *place) for place in places]
         for start, template in base:
             cover[template] = 1.0
         return base, cover, spans
@@ -173,10 +172,10 @@ class Scanner:
                     anchors[template].append((first + position - matched + 1, at - matched + 1, matched))
 
     @staticmethod
-    def _chain(found: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-        """(template words covered, start, end) of the best chain of matches in order with small gaps."""
+    def _chains(found: list[tuple[int, int, int]], least: float) -> tuple[int, list[tuple[int, int]]]:
+        """The most template words that a chain of matches in order with small gaps covers, and the places (start, end) of
+        the chains that cover ``least`` words: those that don't overlap and cover the most words in all."""
         best: list[tuple[int, int]] = []
-        top = (0, 0, 0)
         low = 0
         for k, (text_at, at, size) in enumerate(found):
             covered, start = size, text_at
@@ -188,8 +187,21 @@ class Scanner:
                 if -s < skip <= MAX_GAP and -s < jump <= MAX_GAP and at > a and text_at > t and best[j][0] + size + min(0, jump) > covered:
                     covered, start = best[j][0] + size + min(0, jump), best[j][1]
             best.append((covered, start))
-            top = max(top, (covered, start, text_at + size))
-        return top
+        # of chains by end, those that cover most together: total[k] is for the first k
+        ends = [t + s for t, _, s in found]
+        total, taken = [0], []
+        for k, (covered, start) in enumerate(best):
+            before = bisect_right(ends, start, 0, k)
+            taken.append(before if covered >= least and total[before] + covered > total[k] else None)
+            total.append(total[k] if taken[k] is None else total[before] + covered)
+        places, k = [], len(found)
+        while k:
+            if taken[k - 1] is None:
+                k -= 1
+            else:
+                places.append((best[k - 1][1], ends[k - 1]))
+                k = taken[k - 1]
+        return max(covered for covered, _ in best), places[::-1]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

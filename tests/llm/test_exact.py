@@ -146,6 +146,27 @@ def test_licences_against_brute_force(spark):
     assert licenses.scan(cases.empty(spark)).count() == 0
 
 
+def test_licences_report_every_place_of_a_notice(spark):
+    notice, other = licenses.TEMPLATES[5][1], licenses.TEMPLATES[13][1]
+    words = notice.split()
+    edited = " ".join([*words[:12], "edited", *words[13:]])
+    filler = " ".join(f"filler{k}" for k in range(500))
+    half = " ".join(words[: len(words) // 2])
+    parts = [notice, filler, notice, edited, notice, other, filler, half, filler, other, other, edited]
+    texts = [" ".join(parts), " ".join([notice] * 40)]
+    expected = []
+    for own in (parts, [notice] * 40):
+        at, places = 0, []
+        for part in own:
+            size = len(alnum_words(part))
+            places += [("bsd" if part in (notice, edited) else "cc-by-nc-4.0", at, at + size)] if part in (notice, edited, other) else []
+            at += size
+        expected.append(places)
+    for r in licenses.scan(cases.docs(spark, [*enumerate(texts)])).collect():
+        own = [tuple(x) for x in r["spans"] if x["label"] in ("bsd", "cc-by-nc-4.0")]
+        assert own == expected[r["doc_id"]] and r["score"] == 1
+
+
 def test_matching_statistics_against_brute_force():
     import random
 
