@@ -156,16 +156,16 @@ def shares_above(docs: DataFrame, model: Model, cuts: np.ndarray, text_col: str
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> Model:
-    """Fits on at most ``positives`` trusted rows and ``unlabelled`` rows of the corpus, those with the smallest hashes.
+    """Fits on at most ``positives`` trusted ids and ``unlabelled`` ids of the corpus, those with the smallest hashes, one row of each.
 
-    The class prior is estimated over all documents.
+    Of an id's rows the one with the least text is taken. The class prior is estimated over all documents.
     """
     ids = docs.select(docs[id_col].alias("id"))
     order = lambda seed: F.xxhash64(F.col("id"), F.lit(seed))
     trusted = labels.where((labels["quality"] == 1) & ~held_out(labels[id_col])).select(labels[id_col].alias("id")).distinct().orderBy(order(1), "id").limit(positives)
-    crowd = ids.where("id IS NOT NULL").orderBy(order(2), "id").limit(unlabelled)
+    crowd = ids.where("id IS NOT NULL").distinct().orderBy(order(2), "id").limit(unlabelled)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    pick = lambda chosen: _matrix(texts.join(F.broadcast(chosen.distinct()), "id", "left_semi").select("text"))
+    pick = lambda chosen: _matrix(texts.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).select("text"))
     p, u = pick(trusted), pick(crowd)
     if not len(p) or not len(u):
         return fit(p, u, 0.5)

@@ -93,6 +93,23 @@ def test_quality_on_held_out_rows_and_awkward_texts(spark):
     assert {r["score"] for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_samples_are_bounded_whatever_ids_repeat(spark, monkeypatch):
+    rows = [(k, cases.prose(k)) for k in range(30)] + [(5, cases.prose(100 + k)) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    sizes, matrix = [], quality._matrix
+
+    def noted(sample):
+        found = matrix(sample)
+        sizes.append(len(found))
+        return found
+
+    monkeypatch.setattr(quality, "_matrix", noted)
+    quality.train(cases.docs(spark, rows), labels, positives=25, unlabelled=28)
+    import zlib
+
+    assert sizes == [min(25, sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(30))), 28]
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
