@@ -34,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has, in any case of letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def narrowed(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
     return docs.select(*(docs[n] for n in names))

@@ -256,6 +256,37 @@ def test_classes_against_brute_force(spark):
     assert neardup.near_duplicates(cases.empty(spark)).count() == 0
 
 
+def test_family_around_one_text_with_many_members_that_link_with_nothing(spark):
+    import random
+
+    words = cases.prose(77, 150).split()
+    rows = [(3000, " ".join(words))]
+    for k in range(260):
+        rng, own = random.Random(k), list(words)
+        for _ in range(k % 13):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(6)}"
+        rows.append((2000 + k, " ".join(own if k % 5 else own[: 150 - rng.randrange(40)])))
+    want = brute_classes(rows)
+    sizes = Counter(c for _, c in want.values())
+    assert sizes.most_common(1)[0][1] > 60 and sum(n == 1 for n in sizes.values()) > 60
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+
+
+def test_an_id_is_one_document_whatever_texts_it_repeats_with(spark):
+    one, two, other = cases.prose(60, 40), cases.prose(61, 40), cases.prose(62, 40)
+    rows = [(5, one), (5, two), (3, f"{one} end"), (8, two), (9, other), (9, other), (9, other), (None, one), (4, ""), (4, None), (6, "a b"), (6, "c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neardup.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in found} == {(5, 3), (3, 3), (8, 3), (9, 9), (None, None), (4, 4), (6, 6)}
+    clash = docs.withColumns({c: F.lit("x") for c in ("gone", "gone_", "_gone", "k", "kept", "component_id", "a", "b")})
+    left = neardup.deduplicate(clash)
+    assert left.columns == clash.columns and {r["gone"] for r in left.collect()} == {"x"}
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, f"{one} end"), (9, other), (None, one), (4, ""), (6, "a b")], key=str)
+    assert neardup.deduplicate(clash.limit(0)).count() == 0
+
+
 def test_sketches_tell_high_similarities():
     rng = np.random.default_rng(3)
     for shared in (0.75, 0.85, 0.95):
