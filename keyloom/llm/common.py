@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,21 +10,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.sources import shared
+
 #: Rows whose values Python holds at once; texts may be long, so batches are walked in slices.
 SLICE_ROWS = 256
-#: Entries of a per-worker cache before it starts anew.
-CACHE_ENTRIES = 400_000
+#: Bytes of a worker's cache of word hashes before it starts anew, and what an entry takes besides its word.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 180
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's, or one made here where none is set (tests)."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    folder = spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    """The folder that the driver and all executors share, as the session names it; set here where only the setting is there."""
+    return shared.shared_dir(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -78,11 +73,15 @@ def spaced_words(text: str | None) -> list[bytes]:
 
 
 class WordHash(dict):
-    """word -> 64-bit hash, filled on first sight and started anew when full."""
+    """word -> 64-bit hash, filled on first sight and started anew when it takes too many bytes."""
+
+    taken = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        self.taken += len(word) + ENTRY_BYTES
+        if self.taken > CACHE_BYTES:
             self.clear()
+            self.taken = len(word) + ENTRY_BYTES
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import alnum_words, checkpointed, slices
+from keyloom.llm.common import alnum_words, checkpointed, fresh, slices
 
 #: Words of a window.
 WINDOW = 10
@@ -123,6 +123,21 @@ def scan(docs: DataFrame, items: list[tuple], id_col: str = "doc_id", text_col:
     return narrow.mapInArrow(run, "doc_id long, n_words long, hit array<int>, items array<string>")
 
 
+def hits_by_row(rows: DataFrame, parts: Iterator[list[tuple]]) -> DataFrame:
+    """row, hit, items of the rows (row, text) that some block hits; a block's index is given up when its scan is kept."""
+    union = None
+    for block in parts:
+        found = checkpointed(scan(rows, block, "row").where(F.size("hit") > 0).select(F.col("doc_id").alias("row"), "hit", "items"))
+        union = found if union is None else union.union(found)
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return union.groupBy("row").agg(flat("hit"), flat("items"))
+
+
+def one_or_more(parts: Iterator[list[tuple]]) -> tuple[list[tuple], bool]:
+    """The first block, and whether there are others."""
+    return next(parts), next(parts, None) is not None
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
@@ -130,16 +145,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     count once by their id. Rows are told apart by a key of their own, so repeated and null document ids stay single rows
     whatever the number of blocks.
     """
-    own = list(blocks(items, item_id, item_text))
-    if len(own) == 1:
-        hit = scan(docs, own[0], id_col, text_col)
+    first, more = one_or_more(blocks(items, item_id, item_text))
+    if not more:
+        hit = scan(docs, first, id_col, text_col)
     else:
         rows = checkpointed(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.monotonically_increasing_id().alias("row")))
-        union = scan(rows, own[0], "row")
-        for block in own[1:]:
-            union = union.unionByName(scan(rows, block, "row").where(F.size("hit") > 0))
-        some = union.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        hit = rows.select("row", "doc_id").join(some, "row")
+        words = scan(rows, [], "row").select(F.col("doc_id").alias("row"), "n_words")
+        some = hits_by_row(rows, blocks(items, item_id, item_text))
+        none = lambda c: F.coalesce(c, F.array().cast(some.schema[c].dataType)).alias(c)
+        hit = rows.select("row", "doc_id").join(words, "row").join(some, "row", "left").select("doc_id", "n_words", none("hit"), none("items"))
     return hit.select(
         "doc_id",
         "n_words",
@@ -150,6 +164,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     )
 
 
+def cut(text: str, mask: np.ndarray) -> str:
+    """The text without the words under the mask and what stands between them."""
+    kept, at = [], 0
+    places = [m.span() for m in WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
+    for first, end in edges.reshape(-1, 2).tolist():
+        kept.append(text[at : places[first][0]])
+        at = places[end - 1][1]
+    return "".join([*kept, text[at:]])
+
+
 def clean_text(text: str, index: Index, drop_share: float = DROP_SHARE) -> str | None:
     """The text without its hit spans, None if too much of it is hit. Cuts go on until no window is left."""
     words = alnum_words(text)
@@ -159,37 +184,67 @@ def clean_text(text: str, index: Index, drop_share: float = DROP_SHARE) -> str |
     if mask.mean() > drop_share:
         return None
     while mask.any():
-        kept, at = [], 0
-        places = [m.span() for m in WORD.finditer(text)]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
-        for first, end in edges.reshape(-1, 2).tolist():
-            kept.append(text[at : places[first][0]])
-            at = places[end - 1][1]
-        text = "".join([*kept, text[at:]])
+        text = cut(text, mask)
         mask, _ = index.hits(index.numbered(alnum_words(text)))
     return text
 
 
+def cleaned_by_blocks(rows: DataFrame, parts, drop_share: float = DROP_SHARE) -> DataFrame:
+    """row, cleaned for the rows (row, text) that are hit: null where too much is hit, by all blocks together.
+
+    A round scans what is hit with every block, then cuts once; rounds go on with the rows that were cut until none is hit.
+    """
+    done, share = None, drop_share
+    while True:
+        found = hits_by_row(rows, parts()).select("row", "hit")
+
+        def run(batches, share=share):
+            for part in slices(batches):
+                texts = []
+                for text, hit in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    mask = np.zeros(len(alnum_words(text)), bool)
+                    mask[hit] = True
+                    texts.append(None if mask.mean() > share else cut(text, mask))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+        once = checkpointed(rows.join(found, "row").select("row", "text", "hit").mapInArrow(run, "row long, text string"))
+        last = once.withColumn("_round", F.lit(0 if done is None else 1))
+        done = once if done is None else checkpointed(done.join(last.select("row", F.col("text").alias("_text"), "_round"), "row", "left").select("row", F.when(F.col("_round").isNotNull(), F.col("_text")).otherwise(F.col("text")).alias("text")))
+        rows, share = once.where("text IS NOT NULL"), 1.0
+        if rows.isEmpty():
+            return done.withColumnRenamed("text", "cleaned")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with benchmark spans cut out, and without documents that are mostly benchmark (or nothing else).
 
-    All columns stay; the length column, where there is one, follows the text. Rows with a null text stay as they are.
+    All rows but those stay, and all columns, whatever their names; the length column, where there is one, follows the
+    text. Rows with a null or empty text stay as they are; repeated rows are treated alike, whatever their ids. What is
+    dropped and cut does not depend on the number of the benchmark's blocks. Empty tables give no rows, and an empty
+    benchmark leaves every row as it is.
     """
-    out = docs
-    for block in blocks(items, item_id, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(Index(block))
+    first, more = one_or_more(blocks(items, item_id, item_text))
+    if not more:
+        index = docs.sparkSession.sparkContext.broadcast(Index(first))
 
-        def run(batches, index=index):
+        def run(batches):
             own = index.value
             for part in slices(batches):
                 place = part.schema.get_field_index(text_col)
                 before = part.column(place)
                 texts = [t and clean_text(t, own) for t in before.to_pylist()]
-                kept = pa.array([t is not None for t in texts])
+                kept = pa.array([t is not None for t in texts], pa.bool_())
                 part = part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
                 yield part.filter(pc.or_(kept, before.is_null()))
 
-        out = out.mapInArrow(run, out.schema)
+        out = docs.mapInArrow(run, docs.schema)
+    else:
+        row, held, new = (fresh(n, docs) for n in ("row", "held", "cleaned"))
+        base = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+        texts = base.select(F.col(row).alias("row"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+        found = cleaned_by_blocks(texts, lambda: blocks(items, item_id, item_text)).select(F.col("row").alias(held), F.col("cleaned").alias(new))
+        both = base.join(found, F.col(row) == F.col(held), "left").where(F.col(held).isNull() | F.col(new).isNotNull())
+        out = both.select(*(F.when(F.col(held).isNotNull(), F.col(new)).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns))
     return out.withColumn(length_col, F.char_length(text_col).cast(out.schema[length_col].dataType)) if length_col in out.columns else out
 
 

@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = checkpointed(profiles(base))
     some = found.where("n > 0 AND doc_id IS NOT NULL")
     # a set is a node, named by its least id
-    firsts = some.groupBy("set_key").agg(F.min("doc_id").alias("id"))
+    firsts = checkpointed(some.groupBy("set_key").agg(F.min("doc_id").alias("id")))
     named = checkpointed(some.select("doc_id", "n", "set_key").join(firsts, "set_key").select("doc_id", "n", "id"))
     nodes = some.join(firsts, (F.col("doc_id") == F.col("id")) & (some["set_key"] == firsts["set_key"]), "left_semi")
     nodes = checkpointed(nodes.select(F.col("doc_id").alias("id"), "n", "set_key", "sketch", "bands").dropDuplicates(["id", "set_key"]))

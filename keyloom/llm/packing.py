@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.common import checkpointed, slices
-from keyloom.llm.tokens import ids_between, lookup, odd, tokenizer, two_parts
+from keyloom.llm.tokens import ids_between, lookups, odd, tokenizer, two_parts
 
 #: Tokens of a sequence.
 CAPACITY = 2048
-#: Sub-groups in which pieces of one length are numbered, so that a hot length is not one task's.
-SALTS = 64
+#: Pieces of one length are numbered in groups of about so many, or, beyond that, of a share of all pieces, so that a hot
+#: length is never one task's and the groups' counts are GROUPS and a row for each length at most.
+GROUP_ROWS, GROUPS = 250, 100_000
 
 
 def token_ids(path: str):
@@ -36,15 +37,13 @@ def token_ids(path: str):
     def alone(text: str) -> bytes:
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    # words with other punctuation after them share their letters, which are fewer and so are kept for longer
-    cores = lookup(f"cores {path}", lambda wanted: ids_between(path, wanted, "|", " | "))
-
     def many(groups: list[str]) -> list[bytes]:
         split = two_parts(groups)
         ids = cores.learn({x for pair in split for x in pair if x})
         return [ids[core] + ids[tail] if tail else ids[core] for core, tail in split]
 
-    known = lookup(f"ids {path}", many)
+    # words with other punctuation after them share their letters, which are fewer and so are kept for longer
+    cores, known = lookups({f"cores {path}": (lambda wanted: ids_between(path, wanted, "|", " | "), None), f"ids {path}": (many, None)})
 
     def run(texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [b"" if not t else alone(t) if odd(t) else None for t in texts]
@@ -183,8 +182,14 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
     Repeated rows are packed each. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    all_pieces = checkpointed(pieces(docs, path, capacity, id_col, text_col))
-    salted = all_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    # the number of a row is kept with it, so it stays whatever is computed again
+    all_pieces = checkpointed(pieces(docs, path, capacity, id_col, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    lengths = [(r["length"], r["n"]) for r in all_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()]
+    rows = max(GROUP_ROWS, -(-sum(n for _, n in lengths) // GROUPS))
+    long = T.LongType()
+    fields = lambda *names: T.StructType([T.StructField(n, long) for n in names])
+    salts = F.broadcast(spark.createDataFrame([(x, -(-n // rows)) for x, n in lengths], fields("length", "_salts")))
+    salted = all_pieces.join(salts, "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n")).collect()
     histogram: dict[int, int] = defaultdict(int)
     firsts = []
@@ -192,10 +197,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "do
         firsts.append((r["length"], r["_salt"], histogram[r["length"]]))
         histogram[r["length"]] += r["n"]
     places = runs(plan(dict(histogram), capacity))
-    long = T.LongType()
-    fields = lambda *names: T.StructType([T.StructField(n, T.IntegerType() if n == "_salt" else long) for n in names])
     first_rank = F.broadcast(spark.createDataFrame(firsts, fields("length", "_salt", "_first")))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "_salt").orderBy("_row")
     ranked = salted.withColumn("_in_salt", F.row_number().over(order) - 1).join(first_rank, ["length", "_salt"]).withColumn("_rank", F.col("_first") + F.col("_in_salt"))
     by_length: dict[int, list[tuple]] = defaultdict(list)
     for length, *rest in places:

@@ -27,8 +27,8 @@ TABLE_ENTRIES = 65_536
 TABLE_CHARS = 64
 #: A task reports pre-tokens that make up at least this share of its own.
 HEAVY_SHARE = 1 / 20_000
-#: Entries of each of the two generations of a worker's cache.
-CACHE_ENTRIES = 500_000
+#: Bytes of each of the two generations of a worker's cache, and what an entry takes besides its own bytes.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
 #: Groups that are encoded in one call.
 JOINED = 1_000
 PUNCTUATION = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
@@ -39,7 +39,7 @@ GROUPS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 _loaded: dict[str, object] = {}
-_lookups: dict[tuple, Lookup] = {}
+_lookups: dict[str, Lookup] = {}
 
 
 def tokenizer(path: str):
@@ -53,29 +53,37 @@ def tokenizer(path: str):
 
 
 class Lookup:
-    """What is known of groups: a fixed table and a bounded number of learnt ones; when full, what is used is kept."""
+    """What is known of groups: a fixed table and learnt ones, bounded in bytes; when full, what is used is kept."""
 
-    def __init__(self, make: Callable[[list[str]], list], fixed: dict | None = None, entries: int = CACHE_ENTRIES):
-        self.make, self.fixed, self.entries = make, fixed or {}, entries
-        self.known, self.old = dict(self.fixed), {}
+    def __init__(self, make: Callable[[list[str]], list], fixed: dict | None = None, most: int = CACHE_BYTES):
+        self.make, self.fixed, self.most = make, fixed or {}, most
+        self.known, self.old, self.taken = dict(self.fixed), {}, 0
 
     def learn(self, groups: set[str]) -> dict:
         """A dict that has all of ``groups``."""
-        if len(self.known) - len(self.fixed) > self.entries:
-            self.old, self.known = self.known, dict(self.fixed)
+        if self.taken > self.most:
+            self.old, self.known, self.taken = self.known, dict(self.fixed), 0
         missing = groups.difference(self.known)
         back = {g: v for g in missing if (v := self.old.get(g)) is not None} if self.old else {}
-        self.known.update(back)
+        self.add(back)
         new = list(missing.difference(back)) if back else list(missing)
-        self.known.update(zip(new, self.make(new), strict=True))
+        self.add(dict(zip(new, self.make(new), strict=True)))
         return self.known
 
+    def add(self, found: dict) -> None:
+        self.known.update(found)
+        sizes = sum(map(len, found)) + sum(len(v) for v in found.values() if isinstance(v, bytes))
+        self.taken += sizes + ENTRY_BYTES * len(found)
 
-def lookup(kind: str, make: Callable[[list[str]], list], fixed: dict | None = None) -> Lookup:
-    """The worker's lookup of a kind; it outlives tasks."""
-    if kind not in _lookups:
-        _lookups[kind] = Lookup(make, fixed)
-    return _lookups[kind]
+
+def lookups(makes: dict[str, tuple[Callable[[list[str]], list], dict | None]]) -> list[Lookup]:
+    """The worker's lookups of these kinds. They outlive tasks, until a task of another kind of work begins."""
+    for kind in [k for k in _lookups if k not in makes]:
+        del _lookups[kind]
+    for kind, (make, fixed) in makes.items():
+        if kind not in _lookups:
+            _lookups[kind] = Lookup(make, fixed)
+    return [_lookups[kind] for kind in makes]
 
 
 def odd(text: str) -> bool:
@@ -131,7 +139,7 @@ def frequent(docs: DataFrame, text_col: str, entries: int = TABLE_ENTRIES) -> Da
             for text in part.column(0).to_pylist():
                 if text:
                     groups = text.split(" ")[1:]
-                    seen.update(groups)
+                    seen.update(g for g in groups if len(g) <= TABLE_CHARS)
                     total += len(groups)
             if len(seen) > 8 * entries:
                 floor = total * HEAVY_SHARE / 4
@@ -156,8 +164,8 @@ class Counts:
 
     def __init__(self, path: str, table: dict[str, int], version: str):
         self.path = path
-        self.rest = lookup(f"lengths {path} {version}", self.lengths, table)
-        self.other = lookup(f"whole {path}", lambda groups: [self.whole(g) for g in groups])
+        kinds = {f"lengths {path} {version}": (self.lengths, table), f"whole {path}": (lambda groups: [self.whole(g) for g in groups], None)}
+        self.rest, self.other = lookups(kinds)
 
     def whole(self, text: str) -> int:
         return len(tokenizer(self.path).encode(text, add_special_tokens=False).ids)

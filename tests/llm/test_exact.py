@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keyloom.llm import decontam, fingerprints, licenses, packing, sharding, tokens
@@ -46,8 +47,6 @@ def test_fingerprint_branches_locate_edits(spark):
     a, b = "one two\nthree four\n\nfive\nsix", "one two\nthree 4\n\nfive\nsix"
     df = spark.createDataFrame([(a, b)], "text string, other string")
     both = fingerprints.with_fingerprint(df)
-    from pyspark.sql import functions as F
-
     other = F.flatten(fingerprints.paragraph_nodes(F.col("other")))
     assert both.select(fingerprints.edited_paragraphs(F.col("paragraph_nodes"), other)).first()[0] == [1]
 
@@ -95,8 +94,6 @@ ITEMS = [(1, cases.prose(5, 14)), (10, cases.prose(6, 40)), (2, "one TWO"), (3,
 def test_contamination_against_brute_force(spark, monkeypatch, block):
     planted = [(200 + k, f"before {t} after, {t.upper() if t else ''} the end") for k, (_, t) in enumerate(ITEMS)]
     docs = cases.docs(spark, [*enumerate(cases.texts()), *planted])
-    if block == 5:
-        docs = docs.dropDuplicates(["doc_id"])
     monkeypatch.setattr(decontam.blocks, "__defaults__", (block,))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
@@ -129,6 +126,22 @@ def test_decontaminate_cuts_spans_and_keeps_clean_rows(spark):
     assert out[2]["n_chars"] == len(out[2]["text"]) and out[2].asDict().keys() == before[2].asDict().keys()
 
 
+@pytest.mark.parametrize("block", [5, 10**6])
+def test_what_is_cut_or_dropped_does_not_depend_on_the_blocks(spark, monkeypatch, block):
+    one, two, three = cases.prose(5, 12), cases.prose(6, 12), cases.prose(7, 12)
+    around = f"{cases.prose(33, 20)} {one} {cases.prose(34, 20)}"
+    nested = f"{cases.prose(35, 30)} {' '.join(two.split()[:6])} {one} {' '.join(two.split()[6:])} {cases.prose(36, 30)}"
+    rows = [(1, f"{one} {cases.prose(30, 12)} {two}"), (2, around), (2, around), (None, f"{three} {cases.prose(31, 30)}"), (None, None), (3, nested), (4, ""), (5, cases.prose(38, 20))]
+    monkeypatch.setattr(decontam.blocks, "__defaults__", (block,))
+    docs = cases.docs(spark, rows).withColumns({c: F.lit(1) for c in ("row", "held", "cleaned", "hit")})
+    items = [(1, one), (2, two), (3, three)]
+    out = decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert out.columns == docs.columns
+    found = Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert found == Counter((r["doc_id"], decontam.clean_text(r["text"], decontam.Index(items)) if r["text"] else r["text"]) for r in docs.collect() if r["doc_id"] != 1)
+    assert all(t is None or not brute_contamination(t, items)[1] for _, t in found) and sum(found.values()) == docs.count() - 1
+
+
 def test_licences_against_brute_force(spark):
     extra = ["CC-BY cc by; all rights reserved", "general public license version 3 general public license", *(t for _, t in licenses.TEMPLATES)]
     docs = cases.docs(spark, [*enumerate(cases.texts()), *enumerate(extra, 300)])
