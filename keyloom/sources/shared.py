@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a folder made here where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``; where none is set, a folder made here in local mode, else an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
