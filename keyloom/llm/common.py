@@ -42,7 +42,15 @@ def narrowed(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(docs[n] for n in names))
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+#: What workers keep between tasks of one kind of work; work of another kind gives it up.
+KEPT: list[dict] = []
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a bounded number of rows; without ``keep`` the worker's kept lookups are dropped first."""
+    if not keep:
+        for held in KEPT:
+            held.clear()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

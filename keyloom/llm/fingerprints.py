@@ -3,8 +3,8 @@
 A text is split at empty lines into sections and at line ends into paragraphs, and each paragraph into pieces of
 eight blank-separated words; all splits keep every character, so equal roots mean equal texts. A paragraph's node is
 the SHA-256 of its text, a section's the SHA-256 of its paragraphs' nodes, the root the SHA-256 of the sections' nodes.
-Pieces carry 64-bit hashes; where two roots differ, paragraph nodes that one tree lacks show the paragraphs that were
-edited, and the pieces how much of them is left.
+Pieces, the lowest level, carry 64-bit hashes. Two trees are alike by the nodes of all levels that they share; where their
+roots differ, paragraph nodes that one tree lacks are the branches that were edited.
 """
 
 from __future__ import annotations
@@ -39,11 +39,22 @@ def pieces(text: Column) -> Column:
     return F.array_distinct(F.flatten(hashed))
 
 
-def likeness(root_a: Column, pieces_a: Column, root_b: Column, pieces_b: Column) -> Column:
-    """1 for equal roots; else the common pieces over the larger tree's, and below 1 (0 where both have none)."""
-    most = F.greatest(F.size(pieces_a), F.size(pieces_b), F.lit(1))
-    common = F.size(F.array_intersect(pieces_a, pieces_b))
-    return F.when(root_a == root_b, F.lit(1.0)).otherwise(F.least(common, most - 0.5) / most)
+def tree(text: Column) -> Column:
+    """struct: root, nodes of sections and of paragraphs in order, distinct pieces."""
+    paragraphs = paragraph_nodes(text)
+    sections = F.transform(paragraphs, lambda nodes: F.sha2(F.array_join(nodes, ""), 256))
+    return F.struct(F.sha2(F.array_join(sections, ""), 256).alias("root"), sections.alias("sections"), F.flatten(paragraphs).alias("paragraphs"), pieces(text).alias("pieces"))
+
+
+LEVELS = ("sections", "paragraphs", "pieces")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """1 for trees of equal roots; else their common nodes, level by level, over the larger tree's, and below 1."""
+    nodes = lambda t: sum((F.size(F.array_distinct(t[k])) for k in LEVELS[1:]), F.size(F.array_distinct(t[LEVELS[0]])))
+    common = sum((F.size(F.array_intersect(a[k], b[k])) for k in LEVELS[1:]), F.size(F.array_intersect(a[LEVELS[0]], b[LEVELS[0]])))
+    most = F.greatest(nodes(a), nodes(b))
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(F.least(common, most - 0.5) / most)
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -57,6 +68,13 @@ def edited_paragraphs(nodes_a: Column, nodes_b: Column) -> Column:
     return F.filter(F.transform(nodes_a, lambda n, i: F.when(~F.array_contains(nodes_b, n), i)), lambda i: i.isNotNull())
 
 
+def edited_branches(a: Column, b: Column) -> list[Column]:
+    """edited_branches, first_edited, last_edited: how many different paragraph nodes of tree a tree b lacks, and where (from 0) the first and the last of them stand."""
+    lost = F.array_except(a["paragraphs"], b["paragraphs"])
+    place = lambda k: F.when(F.size(lost) > 0, F.array_position(a["paragraphs"], F.element_at(lost, k)) - 1)
+    return [F.size(lost).cast("long").alias("edited_branches"), place(1).alias("first_edited"), place(-1).alias("last_edited")]
+
+
 def _bucket_of(key: Column, bounds: list[int]) -> Column:
     """Number of sorted ``bounds`` not above ``key``, found by halving."""
     if not bounds:
@@ -114,25 +132,17 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs = with_next(base, "doc_id", ["text"])
     n = F.char_length("text")
     pairs = pairs.select("doc_id", "text", "next_text", n.alias("n_chars"), edited_text(F.col("text"), n, F.col("next_text")).alias("edited"))
-    trees = pairs.select(
-        "doc_id",
-        F.col("n_chars").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        root(F.col("text")).alias("fingerprint"),
-        root(F.col("edited")).alias("edited_fingerprint"),
-        root(F.col("next_text")).alias("next_fingerprint"),
-        pieces(F.col("text")).alias("_pieces"),
-        pieces(F.col("edited")).alias("_edited"),
-        pieces(F.col("next_text")).alias("_next"),
-    )
+    trees = pairs.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *(tree(F.col(c)).alias(t) for c, t in (("text", "own"), ("edited", "other"), ("next_text", "following"))))
+    own, other = F.col("own"), F.col("other")
     return trees.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("_pieces"), F.col("edited_fingerprint"), F.col("_edited")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_pieces"), F.col("next_fingerprint"), F.col("_next")).alias("near_next"),
+        F.col("own.root").alias("fingerprint"),
+        F.col("other.root").alias("edited_fingerprint"),
+        likeness(own, other).alias("near_edited"),
+        likeness(own, F.col("following")).alias("near_next"),
+        *edited_branches(own, other),
     )
 
 
@@ -142,18 +152,30 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS cnt FROM d),
 p AS (SELECT a.doc_id, a.text, b.text AS next_text FROM o a JOIN o b ON b.rn = CASE WHEN a.rn = a.cnt THEN 1 ELSE a.rn + 1 END),
 e AS (SELECT *, length(text) AS n, substring(text, 1, length(text) - length(text) // 4) || substring(next_text, 1, length(text) // 4) AS edited FROM p),
-t AS (
-  SELECT doc_id, n, sha256(edited) AS edited_sha256,
-    sha256(array_to_string(list_transform(string_split(text, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), '')) AS f,
-    sha256(array_to_string(list_transform(string_split(edited, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), '')) AS ef,
-    sha256(array_to_string(list_transform(string_split(next_text, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda q: sha256(q)), ''))), '')) AS nf,
-    list_distinct(flatten(list_transform(string_split(text, chr(10)), lambda q: regexp_extract_all(q, '(?s)(?:[^ ]* ){8}|.+')))) AS a,
-    list_distinct(flatten(list_transform(string_split(edited, chr(10)), lambda q: regexp_extract_all(q, '(?s)(?:[^ ]* ){8}|.+')))) AS b,
-    list_distinct(flatten(list_transform(string_split(next_text, chr(10)), lambda q: regexp_extract_all(q, '(?s)(?:[^ ]* ){8}|.+')))) AS c
+u AS (
+  SELECT doc_id, n, sha256(edited) AS edited_sha256, [text, edited, next_text] AS texts,
+    list_transform([text, edited, next_text], lambda x: list_transform(string_split(x, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda q: sha256(q)))) AS nodes
   FROM e
+),
+v AS (
+  SELECT doc_id, n, edited_sha256,
+    list_transform(nodes, lambda t: list_transform(t, lambda s: sha256(array_to_string(s, '')))) AS sections,
+    list_transform(nodes, lambda t: flatten(t)) AS paragraphs,
+    list_transform(texts, lambda x: list_distinct(flatten(list_transform(string_split(x, chr(10)), lambda q: regexp_extract_all(q, '(?s)(?:[^ ]* ){8}|.+'))))) AS pieces
+  FROM u
+),
+t AS (
+  SELECT *, list_transform(sections, lambda s: sha256(array_to_string(s, ''))) AS roots,
+    list_transform([1, 2, 3], lambda k: len(list_distinct(sections[k])) + len(list_distinct(paragraphs[k])) + len(pieces[k])) AS sizes,
+    list_transform([1, 2, 3], lambda k: len(list_intersect(sections[1], sections[k])) + len(list_intersect(paragraphs[1], paragraphs[k])) + len(list_intersect(pieces[1], pieces[k]))) AS common,
+    list_filter(paragraphs[1], lambda x: NOT list_contains(paragraphs[2], x)) AS lost
+  FROM v
 )
-SELECT doc_id, n AS n_chars, edited_sha256, f AS fingerprint, ef AS edited_fingerprint,
-  CASE WHEN f = ef THEN 1.0::DOUBLE ELSE least(len(list_intersect(a, b)), greatest(len(a), len(b), 1) - 0.5)::DOUBLE / greatest(len(a), len(b), 1) END AS near_edited,
-  CASE WHEN f = nf THEN 1.0::DOUBLE ELSE least(len(list_intersect(a, c)), greatest(len(a), len(c), 1) - 0.5)::DOUBLE / greatest(len(a), len(c), 1) END AS near_next
+SELECT doc_id, n AS n_chars, edited_sha256, roots[1] AS fingerprint, roots[2] AS edited_fingerprint,
+  CASE WHEN roots[1] = roots[2] THEN 1.0::DOUBLE ELSE least(common[2], greatest(sizes[1], sizes[2]) - 0.5)::DOUBLE / greatest(sizes[1], sizes[2]) END AS near_edited,
+  CASE WHEN roots[1] = roots[3] THEN 1.0::DOUBLE ELSE least(common[3], greatest(sizes[1], sizes[3]) - 0.5)::DOUBLE / greatest(sizes[1], sizes[3]) END AS near_next,
+  len(list_distinct(lost))::BIGINT AS edited_branches,
+  CASE WHEN len(lost) > 0 THEN list_position(paragraphs[1], lost[1])::BIGINT - 1 END AS first_edited,
+  CASE WHEN len(lost) > 0 THEN (SELECT max(list_position(paragraphs[1], y)) FROM (SELECT unnest(lost) AS y))::BIGINT - 1 END AS last_edited
 FROM t
 """

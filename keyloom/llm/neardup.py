@@ -268,10 +268,11 @@ def sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def contracted(classed: DataFrame, met: DataFrame) -> DataFrame:
     """(id, component) with classes joined that links ``met`` (x, y) join, each star of them to its least class."""
-    both = checkpointed(met.union(met.select("y", "x")).distinct())
+    both = met.union(met.select("y", "x")).distinct()
     near = both.groupBy("x").agg(F.min("y").alias("_m")).select("x", F.least("x", "_m").alias("_m"))
     over = both.join(near.select(F.col("x").alias("y"), F.col("_m").alias("_far")), "y").groupBy("x").agg(F.min("_far").alias("_far"))
-    moves = near.join(over, "x").select("x", F.least("_m", "_far").alias("_to"))
+    # kept apart from what follows, so that the rows of a large class can be split in the join with them
+    moves = checkpointed(near.join(over, "x").select("x", F.least("_m", "_far").alias("_to")))
     return checkpointed(classed.join(moves, F.col("component") == F.col("x"), "left").select("id", F.coalesce("_to", "component").alias("component")))
 
 

@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "
 
     def run(batches):
         ids_of = token_ids(path)
-        for part in slices(batches):
+        for part in slices(batches, keep=True):
             out = []
             for doc_id, own in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist()), strict=True):
                 ids = own + end

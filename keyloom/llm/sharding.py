@@ -1,9 +1,10 @@
 """Histogram sort: near-equal shards of whole documents by exact byte counts at probed key boundaries.
 
-The sort key is (hash of the text, id), so copies of one text lie side by side. Each round counts, over all rows and
+The sort key is (hash of the text, id, number of the row), so copies of one text lie side by side, and rows that repeat a
+text and an id can still be parted. Each round counts, over all rows and
 with partial sums in every task, the bytes and rows between finer key boundaries ("probes"), but only inside intervals
 in which a shard boundary still falls and which hold more than the tolerance, or which hold too many rows for one task.
-An interval that one text fills is probed further by id. When every boundary is known, rows are exchanged once, to the
+An interval that one text fills is probed further by id, and one that a repeated row fills by the rows' numbers. When every boundary is known, rows are exchanged once, to the
 intervals, which give each row its shard and its gapless slot. DataFrame functions only; the driver holds at most a few
 hundred thousand interval totals, whatever the input.
 """
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import checkpointed
+from keyloom.llm.common import checkpointed, fresh
 
 #: Bits of the hash that one round of probes resolves; the hash has 64.
 ROUND_BITS = 12
@@ -30,68 +31,66 @@ TOLERANCE = 0.001
 OVERHEAD = 16
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``size`` (UTF-8 bytes plus 16), ``text_crc32`` and the sort key; a null text counts as empty."""
+def sized(docs: DataFrame, key: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``size`` (UTF-8 bytes plus 16), ``text_crc32`` and the three columns of the sort key; a null text counts as empty."""
     text = F.coalesce(docs[text_col], F.lit(""))
     return docs.withColumns({
         "size": (F.octet_length(text) + OVERHEAD).cast("long"),
         "text_crc32": F.crc32(F.encode(text, "UTF-8")),
-        "_hash": F.xxhash64(text),
-        "_id": F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))),
+        key[0]: F.xxhash64(text),
+        key[1]: F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))),
+        key[2]: F.xxhash64(F.monotonically_increasing_id()),
     })
 
 
-def _prefix(value: Column, bits: int) -> Column:
-    """The first ``bits`` of a signed 64-bit value, in the order of the values."""
-    return F.shiftright(value, 64 - bits)
+def _prefix(key: list[str], level: int) -> Column:
+    """What a level of probes compares: 12, 24, ... 64 bits of the hash, then as many of the id, then of the row's number."""
+    part, step = divmod(level, LEVELS)
+    return F.shiftright(F.col(key[part]), 64 - min(64, (step + 1) * ROUND_BITS))
 
 
-def _level_key(level: int) -> Column:
-    """The prefix of (hash, id) that a level of probes compares: 12, 24, ... 64 bits of hash, then as many of the id."""
-    bits = min(64, (level + 1) * ROUND_BITS)
-    if level < LEVELS:
-        return _prefix(F.col("_hash"), bits)
-    return _prefix(F.col("_id"), min(64, (level - LEVELS + 1) * ROUND_BITS))
+def _whole(path: tuple, level: int) -> tuple:
+    """The parts of the key that are known in full at a level, from its path; None where they aren't yet."""
+    return path[LEVELS - 1] if level >= LEVELS else None, path[2 * LEVELS - 1] if level >= 2 * LEVELS else None
 
 
-def plan(keyed: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[dict]:
-    """Intervals of the key in order, each with level, prefix, hash, bytes and rows before it, and its own.
+def _within(key: list[str], level: int, names: list[str]) -> Column:
+    """Rows of an interval of that level, which ``names`` hold as (hash, id, prefix)."""
+    on = _prefix(key, level) == F.col(names[2])
+    for k in range(level // LEVELS):
+        on = on & (F.col(key[k]) == F.col(names[k]))
+    return on
 
-    ``keyed`` has _hash, _id and size. A repeated (text, id) row can't be told from its copy and stays with it.
-    """
+
+def plan(keyed: DataFrame, key: list[str], shards: int, tolerance: float = TOLERANCE) -> list[dict]:
+    """Intervals of the key in order, each with its level, path, bytes and rows; ``keyed`` has the key and size."""
     spark = keyed.sparkSession
-    first = keyed.groupBy(_level_key(0).alias("p")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    first = keyed.groupBy(_prefix(key, 0).alias("p")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     leaves = sorted(((r["p"], r["bytes"], r["rows"]) for r in first.collect()))
     total, rows = sum(b for _, b, _ in leaves), sum(n for _, _, n in leaves)
     targets = [total * i / shards for i in range(1, shards)]
     slack, most_rows = tolerance * total / shards, max(1, rows * TASK_SHARE)
     done: list[tuple] = []
-    # an open interval is (path, bytes, rows); its path has the hash, and then the id, prefixes that lead to it
+    # an open interval is (path, bytes, rows); its path has the prefixes of hash, id and row number that lead to it
     open_now = [((p,), b, n) for p, b, n in leaves]
-    for level in range(2 * LEVELS):
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("h", "i", "q")])
+    for level in range(3 * LEVELS):
         ordered = sorted(done + [(path, b, n, level) for path, b, n in open_now], key=lambda x: x[0])
         before, split = 0, []
         for path, b, n, at in ordered:
             inside = bisect_right(targets, before) < bisect_right(targets, before + b - 1)
-            if at == level and n > 1 and level < 2 * LEVELS - 1 and (n > most_rows or inside and b > slack):
+            if at == level and n > 1 and level < 3 * LEVELS - 1 and (n > most_rows or inside and b > slack):
                 split.append(path)
             before += b
         chosen = set(split)
         done += [(path, b, n, level) for path, b, n in open_now if path not in chosen]
         if not split:
             break
-        # at the last hash level the prefix is the whole hash, which the id levels keep as a second key
-        whole = level >= LEVELS - 1
-        schema = T.StructType([T.StructField("_h", T.LongType()), T.StructField("_p", T.LongType())])
-        wanted = spark.createDataFrame([(path[LEVELS - 1] if whole else None, path[-1]) for path in split], schema)
-        here = keyed.select("_hash", "_id", "size", _level_key(level).alias("_k"))
-        on = (F.col("_k") == F.col("_p")) & ((F.col("_hash") == F.col("_h")) if whole else F.lit(True))
-        inner = here.join(F.broadcast(wanted), on).groupBy("_h", "_p", _level_key(level + 1).alias("p"))
-        by_end = {(path[LEVELS - 1] if whole else None, path[-1]): path for path in split}
-        open_now = [
-            ((*by_end[r["_h"], r["_p"]], r["p"]), r["bytes"], r["rows"])
-            for r in inner.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-        ]
+        by_end = {(*_whole(path, level), path[-1]): path for path in split}
+        wanted = spark.createDataFrame(list(by_end), schema)
+        inner = keyed.join(F.broadcast(wanted), _within(key, level, ["h", "i", "q"])).groupBy("h", "i", "q", _prefix(key, level + 1).alias("p"))
+        counts = inner.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+        open_now = [((*by_end[r["h"], r["i"], r["q"]], r["p"]), r["bytes"], r["rows"]) for r in counts]
     return [{"path": path, "bytes": b, "rows": n, "level": at} for path, b, n, at in sorted(done, key=lambda x: x[0])]
 
 
@@ -113,30 +112,30 @@ def place(intervals: list[dict], shards: int) -> list[dict]:
 def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard`` (from 0) and ``slot`` (gapless from 0 in each shard).
 
-    Shards' bytes differ from their mean by the tolerance or by one document at most. Columns of these names are
-    replaced; others stay. Null texts count as empty, null ids sort first, an empty table gives no rows.
+    Shards' bytes differ from their mean by the tolerance or by one document at most, whatever repeats: rows are told
+    apart by their number in ``docs``, which must give the same rows in the same order when it is read again (a table, or
+    checkpointed rows). Columns of these four names are replaced; others stay, whatever their names. Null texts count
+    as empty, null ids sort first, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    keyed = sized(docs, id_col, text_col)
-    narrow = checkpointed(keyed.select("_hash", "_id", "size"))
-    intervals = place(plan(narrow, shards, tolerance), shards)
-    schema = T.StructType([
-        T.StructField("_level", T.IntegerType()), T.StructField("_h", T.LongType()), T.StructField("_p", T.LongType()),
-        T.StructField("_leaf", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("_slot0", T.LongType()),
-    ])
-    rows = [(x["level"], x["path"][LEVELS - 1] if x["level"] >= LEVELS else 0, x["path"][-1], x["leaf"], x["shard"], x["slot0"]) for x in intervals]
+    key = [fresh(n, docs) for n in ("key_hash", "key_id", "key_row")]
+    at, first = fresh("at", docs), [fresh(n, docs) for n in ("h", "i", "q")]
+    keyed = sized(docs, key, id_col, text_col)
+    intervals = place(plan(checkpointed(keyed.select(*key, "size")), key, shards, tolerance), shards)
+    kinds = [(c, T.LongType()) for c in (*first, "leaf")] + [("shard", T.IntegerType()), ("slot0", T.LongType())]
+    schema = T.StructType([T.StructField(c, kind) for c, kind in kinds])
+    rows = [(x["level"], (*_whole(x["path"], x["level"]), x["path"][-1], x["leaf"], x["shard"], x["slot0"])) for x in intervals]
     found = keyed.drop("shard", "slot")
     levels = sorted({x["level"] for x in intervals})
-    parts = {level: spark.createDataFrame([r for r in rows if r[0] == level], schema) for level in levels}
-    for level, part in parts.items():
-        lookup = part.select(F.col("_h").alias("_h_"), F.col("_p").alias("_p_"), F.struct("_leaf", "shard", "_slot0").alias(f"_at{level}"))
-        on = (_level_key(level) == F.col("_p_")) & (F.when(F.lit(level >= LEVELS), F.col("_hash")).otherwise(F.lit(0)) == F.col("_h_"))
-        found = found.join(F.broadcast(lookup), on, "left").drop("_h_", "_p_")
-    at = F.coalesce(*(f"_at{level}" for level in levels)) if levels else F.lit(None).cast("struct<_leaf:bigint,shard:int,_slot0:bigint>")
-    found = found.withColumn("_at", at).drop(*(f"_at{level}" for level in levels))
-    within = Window.partitionBy("_at._leaf").orderBy("_hash", "_id")
-    out = found.withColumns({"shard": F.col("_at.shard"), "slot": F.col("_at._slot0") + F.row_number().over(within) - 1})
-    return out.drop("_at", "_hash", "_id")
+    for level in levels:
+        part = spark.createDataFrame([r for own, r in rows if own == level], schema)
+        lookup = part.select(*first, F.struct("leaf", "shard", "slot0").alias(f"{at}{level}"))
+        found = found.join(F.broadcast(lookup), _within(key, level, first), "left").drop(*first)
+    here = F.coalesce(*(f"{at}{level}" for level in levels)) if levels else F.lit(None).cast("struct<leaf:bigint,shard:int,slot0:bigint>")
+    found = found.withColumn(at, here).drop(*(f"{at}{level}" for level in levels))
+    within = Window.partitionBy(f"{at}.leaf").orderBy(*key)
+    out = found.withColumns({"shard": F.col(f"{at}.shard"), "slot": F.col(f"{at}.slot0") + F.row_number().over(within) - 1})
+    return out.drop(at, *key)
 
 
 def sharded_digest(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

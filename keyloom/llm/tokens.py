@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import slices
+from keyloom.llm.common import KEPT, slices
 
 #: Entries of the broadcast table, and the longest pre-token in it: at most some 17 MB.
 TABLE_ENTRIES = 65_536
@@ -40,6 +40,7 @@ ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 _loaded: dict[str, object] = {}
 _lookups: dict[str, Lookup] = {}
+KEPT.append(_lookups)
 
 
 def tokenizer(path: str):
@@ -206,7 +207,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     def run(batches):
         counts = Counts(path, table.value, version)
-        for part in slices(batches):
+        for part in slices(batches, keep=True):
             sizes = counts.counts(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

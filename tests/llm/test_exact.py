@@ -70,8 +70,23 @@ def test_shards_are_gapless_and_near_equal(spark, shards):
 
 
 def test_sharding_keeps_other_columns(spark):
-    docs = cases.docs(spark)
-    assert set(docs.columns) <= set(sharding.shard_by_bytes(docs, 3).columns)
+    names = ("_id", "_hash", "_at", "key_hash", "KEY_ID", "key_row", "h", "i", "q", "at", "at0", "leaf", "slot0", "p")
+    docs = cases.docs(spark).drop("shard").withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    out = sharding.shard_by_bytes(docs, 3)
+    assert set(out.columns) == {*docs.columns, "size", "text_crc32", "shard", "slot"}
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple(range(len(names)))}
+
+
+def test_rows_that_repeat_text_and_id_are_parted(spark):
+    rows = [(None, "one text of null ids " * 5)] * 400 + [(k, cases.prose(k, 20)) for k in range(100)] + [(3, "x" * 300)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sharding.sharded_digest(docs, 10).collect()
+    slots, sizes = defaultdict(list), [0] * 10
+    for r in found:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert len(found) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(abs(x - sum(sizes) / 10) for x in sizes) <= max(r["size"] for r in found)
 
 
 def brute_contamination(text, items):
