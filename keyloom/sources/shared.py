@@ -23,3 +23,9 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     """Rows kept in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     shared_dir(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where their files give fewer partitions than there are cores; a large table stays as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -71,7 +71,7 @@ def test_text_search(spark):
     hits = lambda q: column(search.bm25(index, search.query_terms(spark.createDataFrame([(1, q)], "query int, text string"))), "doc_id")
     assert (hits("lazy"), hits("FOX"), hits("lazy fox"), hits("nothing")) == ([1, 2], [1, 3], [1, 2, 3], [])
     assert column(search.by_terms(index, "text", ["fox", "quick"], "and"), "doc_id") == [1, 3]
-    assert column(search.by_terms(index, "text", ["fox"], "not", docs), "doc_id") == [2, 4, 5]
+    assert column(search.by_terms(index, "text", ["fox"], "not"), "doc_id") == [2, 4, 5]
     score = {r["doc_id"]: r["score"] for r in search.bm25(index, spark.createDataFrame([(1, "fox")], "query int, term string")).collect()}
     idf = math.log(1 + (3 - 2 + 0.5) / 2.5)
     assert abs(score[1] - idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 9 / (22 / 3)))) < 1e-9
