@@ -48,8 +48,9 @@ def bitop(bits: DataFrame, op: str, keys: list[str]) -> DataFrame:
     """BITOP AND, OR, XOR, and DIFF-like NOT within the bytes of its single source."""
     own = bits.where(F.col("key").isin(keys)).select("key", "off").distinct()
     if op == "not":
-        top = own.agg(F.max("off").alias("_top"))
-        all_bits = top.select(F.explode(F.sequence(F.lit(0).cast("long"), (F.floor(F.col("_top") / 8) + 1) * 8 - 1)).alias("off"))
+        top = own.agg(F.max("off")).first()[0]
+        # numbers up to the bound are made by the tasks themselves, each its own range
+        all_bits = own.sparkSession.range(0 if top is None else (top // 8 + 1) * 8).withColumnRenamed("id", "off")
         return all_bits.join(own.select(F.col("off").cast("long").alias("off")), "off", "left_anti")
     n = own.groupBy("off").agg(F.count(F.lit(1)).alias("_n"))
     kept = {"and": F.col("_n") == len(set(keys)), "or": F.lit(True), "xor": F.col("_n") % 2 == 1}[op]
@@ -65,7 +66,7 @@ def to_binary(bits: DataFrame, width: int) -> DataFrame:
 
 
 def bitfield_get(value: Column, width: int, offset: int, signed: bool = False) -> Column:
-    """BITFIELD GET of up to 63 bits at a bit offset; bytes beyond the end are 0."""
+    """BITFIELD GET at a bit offset: unsigned up to 63 bits, signed up to 64; bytes beyond the end are 0."""
     first, last = offset // 8, (offset + width - 1) // 8
     total = F.lit(0).cast("long")
     for k in range(first, last + 1):
@@ -73,15 +74,32 @@ def bitfield_get(value: Column, width: int, offset: int, signed: bool = False) -
         start, end = max(offset, 8 * k) - 8 * k, min(offset + width, 8 * k + 8) - 8 * k
         part = F.shiftright(byte, 8 - end).bitwiseAND(F.lit((1 << (end - start)) - 1).cast("long"))
         total = F.shiftleft(total, end - start).bitwiseOR(part)
-    return F.when(total >= 1 << (width - 1), total - (1 << width)).otherwise(total) if signed and width < 63 else total
+    # the sign bit is moved to the top of the long and back; 64 bits are the long as it is
+    return F.shiftright(F.shiftleft(total, 64 - width), 64 - width) if signed else total
 
 
-def bitfield_add(current: Column, delta: Column, width: int, signed: bool = False, overflow: str = "wrap") -> Column:
-    """BITFIELD INCRBY: the new value; ``wrap``, ``sat`` at the ends, or ``fail`` with null."""
+def _fitted(total: Column, width: int, signed: bool, overflow: str) -> Column:
+    """A decimal brought into the type's range: ``wrap``, ``sat`` at the ends, or ``fail`` with null; as a long."""
     low, high = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, (1 << width) - 1)
-    total = current + delta
+    wide = lambda n: F.lit(str(n)).cast("decimal(38,0)")
     if overflow == "sat":
-        return F.greatest(F.lit(low), F.least(F.lit(high), total))
-    if overflow == "fail":
-        return F.when((total >= low) & (total <= high), total)
-    return F.pmod(total - low, F.lit(1 << width)) + low
+        out = F.greatest(wide(low), F.least(wide(high), total))
+    elif overflow == "fail":
+        out = F.when((total >= wide(low)) & (total <= wide(high)), total)
+    else:
+        out = F.pmod(total - wide(low), wide(1 << width)) + wide(low)
+    return out.cast("long")
+
+
+def bitfield_add(current: Column, delta: Column, width: int, signed: bool = False, overflow: str = "wrap") -> Column:
+    """BITFIELD INCRBY: the new value. Sums are decimals, so they are exact at any width."""
+    return _fitted(current.cast("decimal(20,0)") + delta.cast("decimal(20,0)"), width, signed, overflow)
+
+
+def bitfield_set(bits: DataFrame, values: DataFrame, width: int, offset: int, signed: bool = False, overflow: str = "wrap") -> DataFrame:
+    """BITFIELD SET of (key, value) at a bit offset: the bits afterwards. A value that fails to fit leaves its key as it is."""
+    fitted = values.select("key", _fitted(F.col("value").cast("decimal(38,0)"), width, signed, overflow).alias("_v")).where("_v IS NOT NULL")
+    places = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.call_function("shiftright", F.col("_v"), F.lit(width - 1) - k).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(offset).cast("long") + k))
+    new = fitted.select("key", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("off"))
+    inside = F.col("off").between(offset, offset + width - 1)
+    return bits.where(~inside).unionByName(bits.where(inside).join(fitted, "key", "left_anti").select(*bits.columns)).unionByName(new)

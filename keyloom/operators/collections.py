@@ -172,6 +172,24 @@ def zadd(log: DataFrame, condition: str = "") -> DataFrame:
     return log.groupBy("key", "member").agg(score.alias("score"))
 
 
+def zadd_state(zsets: DataFrame, log: DataFrame, guard: str = "", compare: str = "") -> DataFrame:
+    """ZADD onto a state, with its options: guard ``nx`` (only new members) or ``xx`` (only old ones), compare ``gt`` or ``lt``.
+
+    One log (key, seq, member, score) is folded by its own rule first, so a hot member costs each task one row. The
+    result has ``added`` and ``changed``: the reply without and with CH counts them.
+    """
+    if guard == "nx" and compare:
+        raise ValueError("nx takes no comparison")
+    new = zadd(log, compare or guard if guard != "xx" else compare).withColumnRenamed("score", "_new")
+    both = zsets.withColumnRenamed("score", "_old").join(new, ["key", "member"], "full_outer")
+    better = {"": F.lit(True), "gt": F.col("_new") > F.col("_old"), "lt": F.col("_new") < F.col("_old")}[compare]
+    if guard == "xx":
+        both = both.where("_old IS NOT NULL")
+    keeps = F.col("_old").isNotNull() & (F.lit(guard == "nx") | F.col("_new").isNull() | ~F.coalesce(better, F.lit(False)))
+    score = F.when(keeps, F.col("_old")).otherwise(F.col("_new"))
+    return both.select("key", "member", score.alias("score"), F.col("_old").isNull().alias("added"), F.coalesce(score != F.col("_old"), F.lit(True)).alias("changed"))
+
+
 def score_order(reverse: bool = False) -> list[Column]:
     """By score and then member, or the other way round."""
     return [F.desc("score"), F.desc("member")] if reverse else [F.asc("score"), F.asc("member")]

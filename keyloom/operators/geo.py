@@ -48,6 +48,13 @@ def in_box(geos: DataFrame, lon: float, lat: float, width: float, height: float,
     return geos.where(box).withColumn("dist", haversine(F.lit(lon), F.lit(lat), F.col("lon"), F.col("lat")) / UNITS[unit])
 
 
+def around_member(geos: DataFrame, key: str, member: str, radius: float, unit: str = "m") -> DataFrame:
+    """GEOSEARCH FROMMEMBER, GEORADIUSBYMEMBER: the points of a key around one of its members; none for an absent one."""
+    own = geos.where(F.col("key") == key)
+    centre = own.where(F.col("member") == member).select("lon", "lat").first()
+    return own.limit(0).withColumn("dist", F.lit(0.0)) if centre is None else around(own, centre["lon"], centre["lat"], radius, unit)
+
+
 def radius_join(points: DataFrame, centres: DataFrame, radius: float, unit: str = "m") -> DataFrame:
     """Every centre (centre, lon, lat) with the points (member, lon, lat) within the radius, and their distance.
 

@@ -195,12 +195,93 @@ def persist(state: DataFrame, keys: DataFrame) -> DataFrame:
     return state.join(gone, "key", "left").withColumn("expires_at", F.when(F.col("_p").isNull(), F.col("expires_at"))).drop("_p")
 
 
+def set_expiring(state: DataFrame, new: DataFrame, now: int, guard: str = "", keep_ttl: bool = False) -> DataFrame:
+    """SET with EX, PX, NX, XX, KEEPTTL; SETEX, PSETEX: ``new`` is (key, value, ttl_ms), null for no expiry.
+
+    What has expired at ``now`` is not there. With ``keep_ttl`` a key keeps the expiry that it has.
+    """
+    alive = live(state, now)
+    own = new.withColumn("expires_at", F.lit(now) + F.col("ttl_ms")).select("key", "value", "expires_at")
+    if keep_ttl:
+        held = alive.select("key", F.col("expires_at").alias("_old"))
+        own = own.join(held, "key", "left").select("key", "value", F.col("_old").alias("expires_at"))
+    return upsert(alive.select("key", "value", "expires_at"), own, ["key"], guard)
+
+
+def get_expiring(state: DataFrame, ttls: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """GETEX for (key, ttl_ms), null for PERSIST: the values read, and the state with the new expiries."""
+    alive = live(state, now)
+    asked = ttls.select("key", F.col("ttl_ms").alias("_ttl"), F.lit(True).alias("_asked"))
+    after = alive.join(asked, "key", "left").withColumn("expires_at", F.when(F.col("_asked"), F.lit(now) + F.col("_ttl")).otherwise(F.col("expires_at"))).drop("_ttl", "_asked")
+    return alive.join(ttls.select("key"), "key", "left_semi"), after
+
+
+def taken(state: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """GETDEL, HGETDEL: the wanted rows that are there, and the state without them."""
+    return state.join(wanted, keys, "left_semi"), state.join(wanted, keys, "left_anti")
+
+
+def expire_at(state: DataFrame, times: DataFrame, now: int) -> DataFrame:
+    """EXPIREAT, PEXPIREAT for (key, at_ms): a time that has passed removes the key."""
+    both = live(state, now).join(times, "key", "left")
+    return both.where(F.col("at_ms").isNull() | (F.col("at_ms") > now)).withColumn("expires_at", F.coalesce("at_ms", "expires_at")).drop("at_ms")
+
+
+def expire_times(state: DataFrame, wanted: DataFrame, now: int) -> DataFrame:
+    """EXPIRETIME and PEXPIRETIME of wanted keys: -2 absent, -1 without expiry, else ms and whole seconds since 1970."""
+    at = live(state, now).select("key", F.coalesce("expires_at", F.lit(-1)).alias("_at"))
+    ms = F.coalesce("_at", F.lit(-2)).cast("long")
+    return wanted.join(at, "key", "left").select("key", ms.alias("pexpiretime"), F.when(ms < 0, ms).otherwise(F.floor(ms / 1000)).cast("long").alias("expiretime"))
+
+
+def swept(state: DataFrame, now: int, one_in: int, seed: int = 0) -> DataFrame:
+    """Active expiry: of the keys with an expiry a sample (one in so many, by hash) is looked at, and the expired of it go."""
+    looked = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(one_in)) == 0
+    gone = looked & (F.col("expires_at") <= now)
+    return state.where(F.col("expires_at").isNull() | ~gone)
+
+
+def types(parts: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """TYPE of wanted keys: the type's name, ``none`` for an absent key."""
+    held = None
+    for kind, rows in parts.items():
+        own = rows.select("key").distinct().withColumn("_type", F.lit(kind))
+        held = own if held is None else held.unionByName(own)
+    return wanted.join(held, "key", "left").select("key", F.coalesce("_type", F.lit("none")).alias("type"))
+
+
+def random_key(state: DataFrame, seed: int = 0) -> DataFrame:
+    """RANDOMKEY: the key with the least seeded hash; every task keeps one."""
+    return state.select("key").distinct().orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(1)
+
+
+def incremented(state: DataFrame, log: DataFrame) -> DataFrame:
+    """INCR and DECR with the range of 64 bits: an increment that leaves it is refused, and the key stays as it was.
+
+    ``state`` is (key, value long), ``log`` (key, delta long), one step a key; absent keys start at 0.
+    """
+    both = state.join(log, "key", "full_outer")
+    total = F.coalesce("value", F.lit(0)).cast("decimal(20,0)") + F.coalesce("delta", F.lit(0)).cast("decimal(20,0)")
+    return both.select("key", F.when(total.between(F.lit(-(2**63)), F.lit(2**63 - 1)), total.cast("long")).otherwise(F.col("value")).alias("value"))
+
+
+def object_info(state: DataFrame, now: int) -> DataFrame:
+    """OBJECT IDLETIME and FREQ: whole seconds since the last access, and how often a key was asked for."""
+    return state.select("key", F.floor((F.lit(now) - F.col("last_access")) / 1000).cast("long").alias("idletime"), F.col("frequency").alias("freq"))
+
+
+def lfu_decayed(counter: Column, last_minute: Column, now_minute: Column, decay_minutes: int) -> Column:
+    """LFU counter now: one less for every ``decay_minutes`` since it was last decreased; minutes are 16 bits and wrap."""
+    gap = F.when(now_minute >= last_minute, now_minute - last_minute).otherwise(65535 - last_minute + now_minute)
+    return counter if decay_minutes == 0 else F.greatest(F.lit(0), counter - F.floor(gap / decay_minutes).cast("int"))
+
+
 # Eviction
 
 
 def victims(state: DataFrame, needed: int, policy: str) -> DataFrame:
-    """Keys to evict until ``needed`` bytes are free: lru (ties: larger first), lfu, or ttl; ties by key at last."""
-    first = {"lru": "last_access", "lfu": "frequency", "ttl": "expires_at"}[policy]
-    rows = state.where(F.col(first).isNotNull()) if policy == "ttl" else state
+    """Keys to evict until ``needed`` bytes are free: lru (ties: larger first), lfu, ttl, or random (by hash); ties by key at last."""
+    first = {"lru": "last_access", "lfu": "frequency", "ttl": "expires_at", "random": "_random"}[policy]
+    rows = state.where(F.col(first).isNotNull()) if policy == "ttl" else state.withColumn("_random", F.crc32("key")) if policy == "random" else state
     ranked = numbered(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col(first), F.desc("size"), F.col("key")], "rank", {"freed": F.col("size")})
     return ranked.where(F.col("freed") - F.col("size") < needed).drop("_all")

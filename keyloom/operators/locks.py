@@ -85,6 +85,12 @@ def victims(cycles: DataFrame, holds: DataFrame, policy: str = "youngest") -> Da
     return both.groupBy("cycle").agg(F.max_by("client", by).alias("victim"), F.count(F.lit(1)).alias("clients"))
 
 
+def merged_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Wait edges of several nodes' snapshots (node, taken, waiter, holder): of each node the newest one counts, edges are united."""
+    newest = snapshots.groupBy("node").agg(F.max("taken").alias("_newest"))
+    return snapshots.join(newest, "node").where(F.col("taken") == F.col("_newest")).select("waiter", "holder").distinct()
+
+
 def long_waits(waits: DataFrame, now: int, max_wait: int) -> DataFrame:
     """Waits of more than half the longest that is allowed."""
     return waits.withColumn("waited", F.lit(now) - F.col("ts")).where(F.col("waited") > max_wait / 2)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from keyloom.operators import bitmaps, sketches
 from keyloom.plans.registry import register, table
 
-BITS = "WITH b AS (SELECT DISTINCT event_type AS key, user_id AS off FROM events WHERE value >= 100) "
+#: A user's bit is what the last of the user's events wrote: set where its value is below 60.
+BITS = "WITH b AS (SELECT event_type AS key, user_id AS off FROM events GROUP BY ALL HAVING arg_max(value, event_id) < 60) "
 
 
 def bits(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value >= 100").select(F.col("event_type").alias("key"), F.col("user_id").alias("off")).distinct()
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("off"), F.col("event_id").alias("seq"), (F.col("value") < 60).cast("int").alias("bit"))
+    return bitmaps.setbit(log)
 
 
 @register("setbit_fold", "SELECT event_type AS key, user_id AS off FROM events GROUP BY ALL HAVING arg_max(value, event_id) >= 100")
@@ -20,10 +22,11 @@ def setbit_fold(spark, sf_dir):
     return bitmaps.setbit(log)
 
 
-@register("getbit", BITS + "SELECT w.key, w.off, (b.off IS NOT NULL)::INT AS bit FROM (SELECT DISTINCT e.event_type AS key, c_custkey AS off FROM customer, (SELECT DISTINCT event_type FROM events) e WHERE c_custkey < 64) w LEFT JOIN b ON b.key = w.key AND b.off = w.off")
+@register("getbit", BITS + "SELECT w.key, w.off, (b.off IS NOT NULL)::INT AS bit FROM (SELECT DISTINCT e.event_type AS key, c_custkey AS off FROM customer, (SELECT DISTINCT event_type FROM events) e) w LEFT JOIN b ON b.key = w.key AND b.off = w.off")
 def getbit(spark, sf_dir):
     own = bits(spark, sf_dir)
-    wanted = table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct().select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).alias("off"))
+    kinds = F.array(*(F.lit(k) for k in ("click", "view", "purchase", "signup", "error")))
+    wanted = table(spark, sf_dir, "customer").select(F.explode(kinds).alias("key"), F.col("c_custkey").alias("off"))
     return bitmaps.getbit(own, wanted)
 
 
@@ -69,6 +72,28 @@ def bitfield_overflow(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *cols)
 
 
+@register("bitfield_i64", "SELECT l_orderkey, l_linenumber, least(9223372036854775807::HUGEINT, 9223372036854775800::HUGEINT + l_quantity::HUGEINT)::BIGINT AS sat, (CASE WHEN 9223372036854775800::HUGEINT + l_quantity::HUGEINT > 9223372036854775807 THEN 9223372036854775800::HUGEINT + l_quantity::HUGEINT - 18446744073709551616::HUGEINT ELSE 9223372036854775800::HUGEINT + l_quantity::HUGEINT END)::BIGINT AS wrap, (CASE WHEN l_quantity::HUGEINT <= 7 THEN 9223372036854775800::HUGEINT + l_quantity::HUGEINT END)::BIGINT AS fail FROM lineitem")
+def bitfield_i64(spark, sf_dir):
+    cols = [bitmaps.bitfield_add(F.lit(2**63 - 8), F.col("l_quantity").cast("long"), 64, True, mode).alias(mode) for mode in ("sat", "wrap", "fail")]
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *cols)
+
+
+@register("bitfield_get_i63", BITS + "SELECT key, (sum(CASE WHEN off = 0 THEN -(1::HUGEINT << 62) ELSE (1::HUGEINT << greatest(62 - off, 0)::INT) END) FILTER (off <= 62))::BIGINT AS value FROM b GROUP BY key")
+def bitfield_get_i63(spark, sf_dir):
+    return bitmaps.to_binary(bits(spark, sf_dir), 64).select("key", bitmaps.bitfield_get(F.col("value"), 63, 0, signed=True).alias("value"))
+
+
+@register("bitfield_set", BITS + "SELECT key, off FROM b WHERE off NOT BETWEEN 5 AND 12 OR key NOT IN ('click', 'view') UNION ALL SELECT 'click', unnest([5, 8, 12]) UNION ALL SELECT 'view', unnest([5, 6, 7, 8, 9, 10, 11, 12])")
+def bitfield_set(spark, sf_dir):
+    values = spark.createDataFrame([("click", 0b10010001), ("view", 300)], "key string, value long")
+    return bitmaps.bitfield_set(bits(spark, sf_dir), values, 8, 5, overflow="sat")
+
+
+@register("bitcount_byte_range", BITS + "SELECT key, count(*)::BIGINT AS n FROM b WHERE off BETWEEN 16 AND 47 GROUP BY key")
+def bitcount_byte_range(spark, sf_dir):
+    return bitmaps.bitcount(bits(spark, sf_dir), 2 * 8, 5 * 8 + 7)
+
+
 HLL = "WITH h AS (SELECT {key} AS key, ('0x' || substr(md5(user_id::VARCHAR), 1, 15))::BIGINT AS h FROM events), r AS (SELECT key, (h & 16383)::INT AS idx, max(CASE WHEN h >> 14 = 0 THEN 47 ELSE 46 - length(bin(h >> 14)) + 1 END)::INT AS reg FROM h GROUP BY ALL)"
 ESTIMATE = " , s AS (SELECT key, sum(pow(2.0, -reg)) AS s, count(*) AS k FROM r GROUP BY key) SELECT key, round(CASE WHEN 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / (s + 16384 - k) <= 2.5 * 16384 AND k < 16384 THEN 16384 * (ln(16384) - ln(16384 - k)) ELSE 0.7213 / (1 + 1.079 / 16384) * 16384 * 16384 / (s + 16384 - k) END)::BIGINT AS estimate FROM s"
 

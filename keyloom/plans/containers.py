@@ -8,13 +8,14 @@ from keyloom.operators import collections as ops
 from keyloom.operators import keyspace
 from keyloom.plans.registry import register, table
 
-S = "WITH s AS (SELECT DISTINCT event_type AS key, user_id::VARCHAR AS member FROM events WHERE value >= 120) "
+#: Members are users with the band that an event's value falls into.
+S = "WITH s AS (SELECT DISTINCT event_type AS key, user_id || '.' || floor(value / 20)::INT AS member FROM events) "
 H = "WITH h AS (SELECT 'customer:' || c_custkey AS key, field, value FROM (SELECT c_custkey, unnest(['name', 'nation', 'segment']) AS field, unnest([c_name, c_nationkey::VARCHAR, c_mktsegment]) AS value FROM customer)) "
 L = "WITH l AS (SELECT o_custkey::VARCHAR AS key, o_orderkey AS pos, o_orderpriority AS value, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) "
 
 
 def sets(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value >= 120").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member")).distinct()
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.concat_ws(".", "user_id", F.floor(F.col("value") / 20).cast("int")).alias("member")).distinct()
 
 
 def hashes(spark, sf_dir):
@@ -50,15 +51,15 @@ def scard(spark, sf_dir):
     return ops.summary(sets(spark, sf_dir))
 
 
-@register("smismember", S + "SELECT w.pos::INT AS pos, w.member, s.member IS NOT NULL AS found FROM (VALUES (0, '7'), (1, 'missing'), (2, '12')) w(pos, member) LEFT JOIN s ON s.member = w.member AND s.key = 'view'")
+@register("smismember", S + "SELECT w.pos::INT AS pos, w.member, s.member IS NOT NULL AS found FROM (VALUES (0, '7.1'), (1, 'missing'), (2, '12.0')) w(pos, member) LEFT JOIN s ON s.member = w.member AND s.key = 'view'")
 def smismember(spark, sf_dir):
     own = sets(spark, sf_dir).where("key = 'view'").select("member", F.lit(True).alias("_in"))
-    return keyspace.ordered_get(own, ["7", "missing", "12"], "member").select("pos", "member", F.col("_in").isNotNull().alias("found"))
+    return keyspace.ordered_get(own, ["7.1", "missing", "12.0"], "member").select("pos", "member", F.col("_in").isNotNull().alias("found"))
 
 
-@register("smove", S + "SELECT DISTINCT CASE WHEN key = 'click' AND member = '7' THEN 'view' ELSE key END AS key, member FROM s")
+@register("smove", S + "SELECT DISTINCT CASE WHEN key = 'click' AND member = '7.1' THEN 'view' ELSE key END AS key, member FROM s")
 def smove(spark, sf_dir):
-    return ops.set_moved(sets(spark, sf_dir), "click", "view", "7")
+    return ops.set_moved(sets(spark, sf_dir), "click", "view", "7.1")
 
 
 @register("sdiffstore", S + "SELECT * FROM s WHERE key <> 'out' UNION ALL SELECT 'out', member FROM s WHERE key = 'signup' AND member NOT IN (SELECT member FROM s WHERE key = 'error')")
@@ -67,9 +68,9 @@ def sdiffstore(spark, sf_dir):
     return ops.stored(ops.set_algebra(own, "diff", ["signup", "error"]), "out", own)
 
 
-@register("srem", S + "SELECT * FROM s WHERE member NOT IN ('1', '2', '3')")
+@register("srem", S + "SELECT * FROM s WHERE member NOT IN ('1.0', '2.0', '3.1')")
 def srem(spark, sf_dir):
-    gone = spark.createDataFrame([("1",), ("2",), ("3",)], "member string")
+    gone = spark.createDataFrame([("1.0",), ("2.0",), ("3.1",)], "member string")
     return keyspace.removed(sets(spark, sf_dir), gone, ["member"])
 
 

@@ -116,9 +116,9 @@ def exists_count(spark, sf_dir):
     return ops.existing(strings(spark, sf_dir), wanted, ["key"]).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("del_keys", C + "SELECT c.* FROM c WHERE key NOT IN (SELECT 'customer:' || o_custkey FROM orders)")
+@register("del_keys", C + "SELECT c.* FROM c WHERE key NOT IN (SELECT 'customer:' || o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def del_keys(spark, sf_dir):
-    gone = table(spark, sf_dir, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("key")).distinct()
+    gone = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("customer:"), "o_custkey").alias("key")).distinct()
     return ops.removed(strings(spark, sf_dir), gone, ["key"])
 
 

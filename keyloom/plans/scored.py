@@ -137,17 +137,24 @@ _algebra("zinter_missing", "inter", ["signup", "missing"], None, "sum", "SELECT
 
 
 #: Scored sets whose members differ: users with a summed value of 1,500 at least.
-HIGH = "z AS (SELECT event_type AS key, user_id::VARCHAR AS member, round(sum(value::DECIMAL(18,4)), 2)::DOUBLE AS score FROM events GROUP BY ALL HAVING score >= 1500) "
+#: Members are users with the band of the value, so that sets differ.
+HIGH = "z AS (SELECT event_type AS key, user_id || '.' || floor(value / 20)::INT AS member, round(sum(value::DECIMAL(18,4)), 2)::DOUBLE AS score FROM events GROUP BY ALL) "
+
+
+def banded(spark, sf_dir):
+    total = F.round(F.sum(F.col("value").cast("decimal(18,4)")), 2).cast("double")
+    member = F.concat_ws(".", "user_id", F.floor(F.col("value") / 20).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("key"), member.alias("member")).agg(total.alias("score"))
 
 
 @register("zdiff", f"WITH {HIGH} SELECT member, score FROM z WHERE key = 'signup' AND member NOT IN (SELECT member FROM z WHERE key IN ('error', 'click'))")
 def zdiff(spark, sf_dir):
-    return ops.zalgebra(zsets(spark, sf_dir).where("score >= 1500"), "diff", ["signup", "error", "click"])
+    return ops.zalgebra(banded(spark, sf_dir), "diff", ["signup", "error", "click"])
 
 
 @register("zintercard_limit", f"WITH {HIGH}, i AS (SELECT member FROM z WHERE key IN ('signup', 'view') GROUP BY member HAVING count(*) = 2) SELECT least(count(*), 20)::BIGINT AS n FROM i")
 def zintercard_limit(spark, sf_dir):
-    both = ops.zalgebra(zsets(spark, sf_dir).where("score >= 1500"), "inter", ["signup", "view"])
+    both = ops.zalgebra(banded(spark, sf_dir), "inter", ["signup", "view"])
     return both.agg(F.least(F.count(F.lit(1)), F.lit(20)).cast("long").alias("n"))
 
 

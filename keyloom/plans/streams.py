@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import pubsub
 from keyloom.operators import streams as ops
+from keyloom.operators.keyspace import removed
 from keyloom.plans.keys import NOW, millis
 from keyloom.plans.registry import register, table
 
@@ -18,7 +19,7 @@ D = X + ", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq)
 
 def entries(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), millis(F.col("ts")).alias("clock"), F.col("event_id").alias("arrival"), "user_id")
-    return ops.with_ids(log).select("key", "ms", F.col("seq").cast("long").alias("seq"), F.col("arrival").alias("event_id"), "user_id")
+    return ops.with_ids(log).select("key", "ms", F.col("seq").cast("long").alias("seq"), F.col("arrival").alias("event_id"), "user_id", "number")
 
 
 def delivered(spark, sf_dir):
@@ -30,7 +31,7 @@ def delivered(spark, sf_dir):
 
 @register("xadd_ids", X + "SELECT key, ms, seq::BIGINT AS seq, event_id, user_id FROM x")
 def xadd_ids(spark, sf_dir):
-    return entries(spark, sf_dir)
+    return entries(spark, sf_dir).drop("number")
 
 
 @register("xlen", "SELECT event_type AS key, count(*)::BIGINT AS length FROM events GROUP BY ALL")
@@ -74,12 +75,14 @@ def xreadgroup(spark, sf_dir):
     return delivered(spark, sf_dir)[1]
 
 
-PENDING = D + ", g AS (SELECT * FROM d WHERE (ms + seq) % 3 <> 0) "
+#: What is pending after every third entry was acknowledged.
+PENDING = D + ", g AS (SELECT d.* FROM d LEFT JOIN (SELECT key, ms, seq FROM x WHERE (ms + seq) % 3 = 0) a USING (key, ms, seq) WHERE a.key IS NULL) "
 
 
 def pending(spark, sf_dir):
     own, found = delivered(spark, sf_dir)
-    return own, found.where((F.col("ms") + F.col("seq")) % 3 != 0)
+    acks = own.where((F.col("ms") + F.col("seq")) % 3 == 0).select("key", "ms", "seq")
+    return own, removed(found, acks, ["key", "ms", "seq"])
 
 
 @register("xpending_summary", PENDING + ", c AS (SELECT key, consumer, count(*) AS n FROM g GROUP BY ALL) SELECT g.key, count(*)::BIGINT AS total, min(ms) AS first_ms, max(ms) AS last_ms, any_value(k.consumers) AS consumers FROM g JOIN (SELECT key, string_agg(consumer || '=' || n, ',' ORDER BY consumer) AS consumers FROM c GROUP BY key) k USING (key) GROUP BY g.key")
@@ -139,8 +142,6 @@ def pubsub_numsub(spark, sf_dir):
 
 @register("xack", D + ", a AS (SELECT key, ms, seq FROM d WHERE ms % 7 = 0) SELECT key, ms, seq::BIGINT AS seq, consumer FROM d WHERE ms % 7 <> 0")
 def xack(spark, sf_dir):
-    from keyloom.operators.keyspace import removed
-
     found = delivered(spark, sf_dir)[1]
     acks = entries(spark, sf_dir).where("ms % 7 = 0").select("key", "ms", "seq")
     return removed(found, acks, ["key", "ms", "seq"]).select("key", "ms", "seq", "consumer")
@@ -153,8 +154,6 @@ def xinfo_consumers(spark, sf_dir):
 
 @register("xdel", X + "SELECT key, ms, seq::BIGINT AS seq FROM x WHERE ms % 10 <> 3")
 def xdel(spark, sf_dir):
-    from keyloom.operators.keyspace import removed
-
     own = entries(spark, sf_dir).select("key", "ms", "seq")
     return removed(own, own.where("ms % 10 = 3"), ["key", "ms", "seq"])
 
@@ -162,3 +161,64 @@ def xdel(spark, sf_dir):
 @register("xinfo_stream", X + "SELECT key, count(*)::BIGINT AS length, min(ms) AS first_ms, max(ms) AS last_ms FROM x GROUP BY key")
 def xinfo_stream(spark, sf_dir):
     return ops.stream_info(entries(spark, sf_dir)).select("key", "length", F.col("first.ms").alias("first_ms"), F.col("last.ms").alias("last_ms"))
+
+
+@register("xadd_explicit", X + ", l AS (SELECT key, max(ms) AS last_ms FROM x GROUP BY key), w AS (SELECT event_type AS key, event_id AS arrival, epoch_us(ts) // 1000 + 34560000000 AS ms, (event_id % 3)::BIGINT AS seq FROM events), r AS (SELECT *, max(ms * 1000 + seq) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM w) SELECT r.key, r.ms, r.seq, r.arrival FROM r JOIN l USING (key) WHERE r.ms > l.last_ms AND (top IS NULL OR r.ms * 1000 + r.seq > top)")
+def xadd_explicit(spark, sf_dir):
+    new = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), (millis(F.col("ts")) + 86_400_000 * 400).alias("ms"), (F.col("event_id") % 3).cast("long").alias("seq"), F.col("event_id").alias("arrival"))
+    return ops.explicit(entries(spark, sf_dir), new)
+
+
+@register("xpending_range", PENDING + f", o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS k FROM g WHERE consumer = 'c3' AND {NOW} - delivery_ms >= 1000) SELECT key, ms, seq::BIGINT AS seq, consumer, ({NOW} - delivery_ms)::BIGINT AS idle, delivery_count FROM o WHERE k <= 15")
+def xpending_range(spark, sf_dir):
+    found = ops.pending_range(pending(spark, sf_dir)[1], (0, 0), (2**60, 2**60), 15, NOW, 1000, "c3")
+    return found.select("key", "ms", "seq", "consumer", "idle", "delivery_count")
+
+
+@register("xclaim_options", PENDING + f", o AS (SELECT *, ms % 2 = 0 AS goes FROM g UNION ALL SELECT x.key, x.ms, x.seq, 'thief', {NOW}, 0, 0, true FROM x LEFT JOIN g USING (key, ms, seq) WHERE g.key IS NULL AND x.ms % 2 = 0) SELECT key, ms, seq::BIGINT AS seq, CASE WHEN goes THEN 'thief' ELSE consumer END AS consumer, CASE WHEN goes THEN {NOW} - 5000 ELSE delivery_ms END::BIGINT AS delivery_ms, CASE WHEN goes THEN 9 ELSE delivery_count END::INT AS delivery_count FROM o")
+def xclaim_options(spark, sf_dir):
+    own, found = pending(spark, sf_dir)
+    return ops.claimed(found, own.where("ms % 2 = 0"), "thief", NOW, 0, at=NOW - 5000, retries=9, force=own)
+
+
+@register("xclaim_justid", PENDING + f", o AS (SELECT *, (ms % 2 = 0) AND {NOW} - delivery_ms >= {IDLE} AS goes FROM g) SELECT key, ms, seq::BIGINT AS seq, CASE WHEN goes THEN 'thief' ELSE consumer END AS consumer, delivery_count FROM o")
+def xclaim_justid(spark, sf_dir):
+    own = pending(spark, sf_dir)[1]
+    return ops.claimed(own, own.where("ms % 2 = 0"), "thief", NOW, IDLE, just_ids=True).select("key", "ms", "seq", "consumer", "delivery_count")
+
+
+G = X + f", g AS (SELECT DISTINCT event_type AS key, 'a' AS \"group\", {LAST}::BIGINT AS last_ms, 0::BIGINT AS last_seq FROM events WHERE event_type < 'p'), l AS (SELECT key, arg_max(struct_pack(ms := ms, seq := seq), (ms, seq)) AS l FROM x GROUP BY key) "
+
+
+def groups(spark, sf_dir):
+    keys = table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct()
+    return keys.where("key < 'p'").select("key", F.lit("a").alias("group"), F.lit(LAST).cast("long").alias("last_ms"), F.lit(0).cast("long").alias("last_seq"))
+
+
+@register("xgroup_create", G + 'SELECT * FROM g UNION ALL SELECT l.key, \'a\', l.l.ms, l.l.seq FROM l LEFT JOIN g USING (key) WHERE g.key IS NULL')
+def xgroup_create(spark, sf_dir):
+    new = ops.last_ids(entries(spark, sf_dir)).withColumn("group", F.lit("a"))
+    return ops.groups_created(groups(spark, sf_dir), new)
+
+
+@register("xgroup_setid", G + 'SELECT l.key, \'a\' AS \"group\", l.l.ms AS last_ms, l.l.seq AS last_seq FROM l JOIN g USING (key)')
+def xgroup_setid(spark, sf_dir):
+    new = ops.last_ids(entries(spark, sf_dir)).withColumn("group", F.lit("a"))
+    return ops.groups_set(groups(spark, sf_dir), new)
+
+
+@register("xgroup_destroy", G + "SELECT * FROM g WHERE key <> 'click'")
+def xgroup_destroy(spark, sf_dir):
+    return removed(groups(spark, sf_dir), spark.createDataFrame([("click", "a")], "key string, group string"), ["key", "group"])
+
+
+@register("xgroup_delconsumer", PENDING + "SELECT key, ms, seq::BIGINT AS seq, consumer FROM g WHERE NOT (key = 'view' AND consumer = 'c2')")
+def xgroup_delconsumer(spark, sf_dir):
+    gone = spark.createDataFrame([("view", "c2")], "key string, consumer string")
+    return removed(pending(spark, sf_dir)[1], gone, ["key", "consumer"]).select("key", "ms", "seq", "consumer")
+
+
+@register("xsetid", G + f"SELECT key, CASE WHEN key = 'view' THEN 9999999999999 ELSE l.ms END AS last_ms, CASE WHEN key = 'view' THEN 5 ELSE l.seq END::BIGINT AS last_seq FROM l")
+def xsetid(spark, sf_dir):
+    new = spark.createDataFrame([("view", 9_999_999_999_999, 5), ("click", 1, 1)], "key string, ms long, seq long")
+    return ops.set_ids(entries(spark, sf_dir), new)
