@@ -137,6 +137,13 @@ def page(rows: DataFrame, cursor: int, count: int = 10, pattern: str | None = No
     return found if pattern is None else found.where(glob(F.col(by), pattern))
 
 
+def page_after(rows: DataFrame, last: str | None, count: int = 10, pattern: str | None = None, by: str = "key") -> DataFrame:
+    """SCAN and its kin, going on from the last value seen instead of a number: the condition reaches the scan, and a page costs the same wherever it is."""
+    rest = rows if last is None else rows.where(F.col(by) > last)
+    found = rest.orderBy(by).limit(count)
+    return found if pattern is None else found.where(glob(F.col(by), pattern))
+
+
 def type_conflicts(parts: dict[str, DataFrame]) -> DataFrame:
     """WRONGTYPE: keys that are held with more than one type."""
     rows = None

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import bitmaps, geo, keyspace, locks
+from keyloom.operators import bitmaps, geo, keyspace, locks, pubsub
 from keyloom.operators import collections as ops
 from keyloom.plans import containers, keys, places, scored
 from keyloom.plans.keys import NOW, C, E
@@ -379,3 +379,30 @@ def save_and_load(spark, sf_dir):
     snapshot.save({"string": rows}, folder)
     # one database is one folder of the snapshot: only that is read
     return snapshot.load(spark, folder, ["string"])["string"].where("db = 2")
+
+
+# Paging and channels
+
+
+@register("scan_after", C + "SELECT key, value FROM c WHERE key > 'customer:2' ORDER BY key LIMIT 50")
+def scan_after(spark, sf_dir):
+    return keyspace.page_after(keys.strings(spark, sf_dir), "customer:2", 50)
+
+
+@register("pubsub_any_ends", "SELECT DISTINCT event_type || '.' || user_id AS channel, 'ann' AS client, '*r*.[0-4]*' AS pattern FROM events WHERE regexp_full_match(event_type || '.' || user_id, '.*r.*\\.[0-4].*') UNION ALL SELECT DISTINCT event_type || '.' || user_id, 'bob', '*' FROM events UNION ALL SELECT DISTINCT event_type || '.' || user_id, 'cy', '?????.*7' FROM events WHERE regexp_full_match(event_type || '.' || user_id, '.....\\..*7')")
+def pubsub_any_ends(spark, sf_dir):
+    patterns = spark.createDataFrame([("ann", "*r*.[0-4]*"), ("bob", "*"), ("cy", "?????.*7")], "client string, pattern string")
+    channels = table(spark, sf_dir, "events").select(F.concat_ws(".", "event_type", "user_id").alias("channel"))
+    return pubsub.matches(channels, patterns)
+
+
+@register("pubsub_numpat", "SELECT 3::BIGINT AS n")
+def pubsub_numpat(spark, sf_dir):
+    return pubsub.pattern_count(spark.createDataFrame([("a", "x.*"), ("b", "x.*"), ("b", "?"), ("c", "*"), ("d", None)], "client string, pattern string"))
+
+
+@register("spublish", "WITH m AS (SELECT event_id, event_type || '.' || user_id AS channel FROM events), s AS (SELECT * FROM (VALUES ('ann', 'click.1'), ('bob', 'click.1'), ('bob', 'view.2')) s(client, channel)) SELECT event_id, channel, client, (" + keys._crc_sql().replace("c_name", "channel") + " % 16384)::BIGINT AS slot FROM m JOIN s USING (channel)")
+def spublish(spark, sf_dir):
+    messages = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", "event_type", "user_id").alias("channel"))
+    subs = spark.createDataFrame([("ann", "click.1"), ("bob", "click.1"), ("bob", "view.2")], "client string, channel string")
+    return pubsub.shard_routed(messages, subs).select("event_id", "channel", "client", F.col("slot").cast("long").alias("slot"))

@@ -8,8 +8,8 @@ from keyloom.operators import vectors as ops
 from keyloom.plans.registry import register, table
 
 V = "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, {score} AS score FROM v a, v b WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) - 1 AS rank FROM s) SELECT query, neighbour, round(score, 5) AS score, rank::BIGINT AS rank FROM r WHERE rank < 10"
-#: Cells of the inverted file, and cells that a query probes.
-CELLS, PROBES = 16, 12
+#: Share of the true neighbours that the inverted file is to find.
+RECALL = 0.95
 
 
 def _knn(name, metric, score):
@@ -28,8 +28,9 @@ _knn("knn_ip", "ip", "list_inner_product(a.e, b.e)")
 
 def ann_parts(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings")
-    centroids = ops.train_cells(base, CELLS)
-    return ops.ann(ops.assign_cells(base, centroids), ops.assign_cells(base.where("vec_id % 100 = 0"), centroids, PROBES), 10)
+    centroids = ops.train_cells(base, ops.cells_for(base.count()))
+    probes = ops.probes_for(base, centroids, 10, RECALL)
+    return ops.ann(ops.assign_cells(base, centroids), ops.assign_cells(base.where("vec_id % 100 = 0"), centroids, probes), 10)
 
 
 @register("ann_ivf")

@@ -85,6 +85,49 @@ def test_ranking_and_weights(spark):
     assert best(search.bm25, "apple") == [0, 1] and best(search.tf_idf, "apple") == [0, 1] and best(search.bm25, "quantum") == [10, 11]
 
 
+def test_pages_of_many_queries_are_those_of_all_scores(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = lambda k: " ".join(f"w{x}" for x in rng.zipf(1.6, k) % 60)
+    docs = spark.createDataFrame([(i, texts(int(rng.integers(0, 4))), texts(int(rng.integers(0, 30)))) for i in range(200)] + [(None, "w1", "w1"), (900, None, "")], "doc_id int, title string, body string").repartition(3)
+    index = search.text_index(docs, {"title": 3.0, "body": 1.0})
+    asked = spark.createDataFrame([(q, f"w{t}") for q in range(12) for t in rng.integers(0, 70, 3).tolist()], "query int, term string")
+    only = asked.withColumn("field", F.lit("body"))
+    monkeypatch.setattr(search, "BLOCK_TERMS", 7)
+    for queries in (asked, only):
+        for scoring, scores in (("bm25", search.bm25), ("tf_idf", search.tf_idf)):
+            full = scores(index, queries).where("doc_id IS NOT NULL").withColumn("score", F.round("score", 6))
+            want = sorted((r["query"], r["rank"], r["doc_id"], r["score"]) for r in search.top(full, 4, 1).collect())
+            found = sorted((r["query"], r["rank"], r["doc_id"], r["score"]) for r in search.best_matches(index, queries, 4, 1, scoring).collect())
+            assert [x[:3] for x in found] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(found, want, strict=True))
+    assert search.best_matches(index, asked.limit(0), 4).count() == 0 and search.best_matches(search.text_index(docs.limit(0), {"body": 1.0}), asked, 4).count() == 0
+
+
+def test_wide_bit_fields(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    ones, low = F.lit(b"\xff" * 8), F.lit(bytes([128, 0, 0, 0, 0, 0, 0, 0]))
+    assert [one(bitmaps.bitfield_get(ones, w, 0, True)) for w in (1, 8, 63, 64)] == [-1] * 4 and one(bitmaps.bitfield_get(ones, 63, 1)) == 2**63 - 1
+    assert one(bitmaps.bitfield_get(low, 64, 0, True)) == -(2**63)
+    add = lambda start, by, *how: one(bitmaps.bitfield_add(F.lit(start), F.lit(by), *how))
+    assert [add(2**63 - 1, 1, 64, True, how) for how in ("wrap", "sat", "fail")] == [-(2**63), 2**63 - 1, None]
+    assert add(2**62 - 1, 1, 63, True) == -(2**62) and add(2**63 - 1, 1, 63, False) == 0
+    bits = spark.createDataFrame([("a", 0), ("a", 70), ("b", 3)], "key string, off long")
+    put = bitmaps.bitfield_set(bits, spark.createDataFrame([("a", -2), ("b", 9)], "key string, value long"), 4, 0, True, "fail")
+    assert sorted((r["key"], r["off"]) for r in put.collect()) == [("a", 0), ("a", 1), ("a", 2), ("a", 70), ("b", 3)]
+    assert bitmaps.bitop(bits, "not", ["b"]).count() == 7 and bitmaps.bitop(bits, "not", ["missing"]).count() == 0
+
+
+def test_cells_and_probes_follow_the_rows(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(900, 8)) + rng.integers(0, 9, (900, 1)) * 3
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    cells = vectors.cells_for(base.count())
+    centroids = vectors.train_cells(base, cells, "l2")
+    probes = vectors.probes_for(base, centroids, 5, 0.95, "l2")
+    asked = base.where("vec_id % 30 = 0")
+    got = vectors.recall(vectors.ann(vectors.assign_cells(base, centroids, metric="l2"), vectors.assign_cells(asked, centroids, probes, "l2"), 5, "l2"), vectors.knn(base, asked, 5, "l2")).first()
+    assert cells == 30 and probes < cells / 2 and got["recall"] >= 0.9
+
+
 @pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
 def test_neighbours_against_brute_force(spark, metric, monkeypatch):
     rng = np.random.default_rng(3)
@@ -225,3 +268,18 @@ def test_named_functions(spark):
     f.delete("lib")
     with pytest.raises(KeyError):
         f.call("upper", df)
+
+
+def test_sampled_expiry_only_takes_what_has_expired(spark):
+    state = spark.createDataFrame([(f"k{i}", None if i % 3 == 0 else i) for i in range(300)], "key string, expires_at long")
+    left = keyspace.swept(state, 150, 4)
+    assert 150 < left.count() < 300 and left.where("expires_at IS NULL OR expires_at > 150").count() == state.where("expires_at IS NULL OR expires_at > 150").count()
+    assert keyspace.swept(state, 150, 1).where("expires_at <= 150").count() == 0
+    assert keyspace.random_key(state, 3).count() == 1
+
+
+def test_patterns_without_literal_ends(spark):
+    patterns = spark.createDataFrame([("a", "*"), ("b", "*.x"), ("c", "[ab]*[.]?"), ("d", "?q*"), ("e", "*[z")], "client string, pattern string")
+    channels = spark.createDataFrame([("a.x",), ("b.y",), ("cq.x",), ("",), (None,)], "channel string")
+    found = {(r["channel"], r["client"]) for r in pubsub.matches(channels, patterns).collect()}
+    assert {x for x in found if x[1] != "e"} == {("a.x", "a"), ("b.y", "a"), ("cq.x", "a"), ("", "a"), ("a.x", "b"), ("cq.x", "b"), ("a.x", "c"), ("b.y", "c"), ("cq.x", "d")}
