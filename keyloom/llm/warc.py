@@ -161,8 +161,9 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), payload.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("length"))
     firsts = rows.where(F.col("length") >= LEAST_REVISIT).groupBy(F.col("digest").alias("_digest")).agg(F.min("page_id").alias("_first"))
-    on = (F.col("digest") == F.col("_digest")) & (F.col("length") >= LEAST_REVISIT)
-    found = rows.join(firsts.hint("shuffle_hash"), on, "left")
+    # short payloads revisit nothing, so each is a key of its own: the empty ones, however many, are spread over all tasks
+    own = F.when(F.col("length") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("short"), "page_id", "url"))
+    found = rows.withColumn("_own", own).join(firsts.hint("shuffle_hash"), F.col("_own") == F.col("_digest"), "left")
     return found.select("page_id", "url", "payload", "digest", "length", F.when(~F.col("_first").eqNullSafe(F.col("page_id")), F.col("_first")).alias("refers_to"))
 
 

@@ -110,6 +110,34 @@ def test_samples_are_bounded_whatever_ids_repeat(spark, monkeypatch):
     assert sizes == [min(25, sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(30))), 28]
 
 
+def test_descent_follows_the_slope_of_the_non_negative_risk(monkeypatch):
+    rng = np.random.default_rng(4)
+    positive, unlabelled = rng.normal(1, 1, (80, 5)), np.vstack([rng.normal(1, 1, (90, 5)), rng.normal(-1, 1, (60, 5))])
+    p, u = (quality.ready(x, positive.mean(0), positive.std(0)) for x in (positive, unlabelled))
+    loss = lambda z: np.log1p(np.exp(z))
+
+    def parts(w, prior):
+        """Risk of positives, and the negative part, row by row."""
+        plus = prior * np.mean([loss(-(x @ w)) for x in p])
+        return plus, np.mean([loss(x @ w) for x in u]) - prior * np.mean([loss(x @ w) for x in p])
+
+    descend, seen = quality._descend, []
+    monkeypatch.setattr(quality, "_descend", lambda gradient, size, steps: seen.append(gradient) or descend(gradient, size, steps))
+    below = 0
+    for prior in (0.3, 0.6, 0.9):
+        model = quality.fit(positive, unlabelled, prior)
+        found = np.append(model.weights, model.bias)
+        assert sum(max(0.0, x) for x in parts(found, prior)) < sum(parts(np.zeros(6), prior))
+        for at in (rng.normal(size=6) * 0.1, rng.normal(size=6), found, np.full(6, 1.5)):
+            # where the negative part is below 0 the method goes against its slope, else down that of the whole risk
+            negative = parts(at, prior)[1] < 0
+            below += negative
+            aim = lambda w, prior=prior, negative=negative: -parts(w, prior)[1] if negative else sum(parts(w, prior))
+            slope = np.array([(aim(at + 1e-5 * d) - aim(at - 1e-5 * d)) / 2e-5 for d in np.eye(6)]) + 1e-4 * at
+            assert np.allclose(seen[-1](at), slope, atol=1e-4)
+    assert below
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
