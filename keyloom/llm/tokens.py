@@ -28,7 +28,7 @@ TABLE_CHARS = 64
 #: A task reports pre-tokens that make up at least this share of its own.
 HEAVY_SHARE = 1 / 20_000
 #: Bytes of each of the two generations of a worker's cache, and what an entry takes besides its own bytes.
-CACHE_BYTES, ENTRY_BYTES = 40 << 20, 200
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 200
 #: Groups that are encoded in one call.
 JOINED = 1_000
 PUNCTUATION = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
