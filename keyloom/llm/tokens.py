@@ -66,15 +66,15 @@ class Lookup:
             self.old, self.known, self.taken = self.known, dict(self.fixed), 0
         missing = groups.difference(self.known)
         back = {g: v for g in missing if (v := self.old.get(g)) is not None} if self.old else {}
-        self.add(back)
+        self.add(list(back), list(back.values()))
         new = list(missing.difference(back)) if back else list(missing)
-        self.add(dict(zip(new, self.make(new), strict=True)))
+        self.add(new, self.make(new))
         return self.known
 
-    def add(self, found: dict) -> None:
-        self.known.update(found)
-        sizes = sum(map(len, found)) + sum(len(v) for v in found.values() if isinstance(v, bytes))
-        self.taken += sizes + ENTRY_BYTES * len(found)
+    def add(self, groups: list[str], values: list) -> None:
+        self.known.update(zip(groups, values, strict=True))
+        held = sum(map(len, values)) if values and isinstance(values[0], bytes) else 0
+        self.taken += sum(map(len, groups)) + held + ENTRY_BYTES * len(groups)
 
 
 def lookups(makes: dict[str, tuple[Callable[[list[str]], list], dict | None]]) -> list[Lookup]:
