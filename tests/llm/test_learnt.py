@@ -138,6 +138,30 @@ def test_descent_follows_the_slope_of_the_non_negative_risk(monkeypatch):
     assert below
 
 
+def test_the_descent_over_all_rows_lowers_the_risk_of_all_rows(spark):
+    texts = [(k, cases.prose(k, 40) if k % 4 else "WORD!! " * (5 + k % 7)) for k in range(240)] + list(enumerate(cases.texts()))
+    x = quality._batch([t for _, t in texts]).astype(float)
+    positive = x[[k for k in range(240) if k % 4][:90]]
+    kept = quality.with_features(spark.createDataFrame(texts, "id long, text string").select("text").repartition(5))
+    assert sorted(map(tuple, quality._matrix(spark.createDataFrame([(t,) for _, t in texts], "text string")).tolist())) == sorted(map(tuple, x.tolist()))
+    for prior in (0.4, 0.75):
+        start = quality.fit(positive, x[:40], prior)
+        u, p = quality.ready(x, start.mean, start.scale), quality.ready(positive, start.mean, start.scale)
+        loss = lambda z: float(np.mean(np.logaddexp(0, z)))
+
+        def standing(m):
+            w = np.append(m.weights, m.bias)
+            negative = loss(u @ w) - m.prior * loss(p @ w)
+            return max(0.0, -negative), m.prior * loss(-p @ w) + max(0.0, negative) + quality.RIDGE / 2 * (w @ w)
+
+        w = np.append(start.weights, start.bias)
+        found, local = quality.sums_over(kept, start)([w, 2 * w]), [quality.Sums.of(u, w), quality.Sums.of(u, 2 * w)]
+        assert all(np.allclose(a.flat(), b.flat()) for a, b in zip(found, local, strict=True))
+        over_spark = quality.refine(start, positive, quality.sums_over(kept, start), passes=3)
+        in_memory = quality.refine(start, positive, lambda tried: [quality.Sums.of(u, w) for w in tried], passes=3)
+        assert np.allclose(over_spark.weights, in_memory.weights, atol=1e-5) and standing(over_spark) < standing(start), prior
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
