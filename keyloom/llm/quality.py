@@ -33,8 +33,6 @@ CLIP = 8.0
 #: Most passes over all documents' features, and the shares of a Newton step that one pass tries.
 PASSES = 8
 STRIDES = (1.0, 0.5, 0.25, 0.0625)
-#: Weight decay of the steps over all documents; of 0.0001 to 0.1 the best on the labelled rows that are not held out.
-RIDGE = 1e-2
 
 
 def features(text: str | None) -> list[float]:
@@ -152,7 +150,7 @@ class Sums:
         return Sums(x[0], x[1], x[2 : 2 + size], x[2 + size :].reshape(size, size))
 
 
-def refine(model: Model, positive: np.ndarray, sums: Callable[[list[np.ndarray]], list[Sums]], passes: int = PASSES, ridge: float = RIDGE) -> Model:
+def refine(model: Model, positive: np.ndarray, sums: Callable[[list[np.ndarray]], list[Sums]], passes: int = PASSES, ridge: float = 1e-4) -> Model:
     """Newton steps on the non-negative risk from ``model``; ``sums`` adds up all unlabelled rows at several weights in one pass.
 
     Of the shares of a step that with the least risk is taken, first of those whose negative part is not below 0; where

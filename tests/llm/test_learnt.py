@@ -152,7 +152,7 @@ def test_the_descent_over_all_rows_lowers_the_risk_of_all_rows(spark):
         def standing(m):
             w = np.append(m.weights, m.bias)
             negative = loss(u @ w) - m.prior * loss(p @ w)
-            return max(0.0, -negative), m.prior * loss(-p @ w) + max(0.0, negative) + quality.RIDGE / 2 * (w @ w)
+            return max(0.0, -negative), m.prior * loss(-p @ w) + max(0.0, negative) + 1e-4 / 2 * (w @ w)
 
         w = np.append(start.weights, start.bias)
         found, local = quality.sums_over(kept, start)([w, 2 * w]), [quality.Sums.of(u, w), quality.Sums.of(u, 2 * w)]
