@@ -12,6 +12,8 @@ from keyloom.operators.keyspace import upsert
 
 #: The range of latitudes and longitudes.
 MAX_LAT, MAX_LON = 85.05112878, 180.0
+#: Names in one list of those at a place.
+LIST = 4096
 
 
 def geoadd(geos: DataFrame, new: DataFrame, guard: str = "") -> DataFrame:
@@ -55,11 +57,25 @@ def around_member(geos: DataFrame, key: str, member: str, radius: float, unit: s
     return own.limit(0).withColumn("dist", F.lit(0.0)) if centre is None else around(own, centre["lon"], centre["lat"], radius, unit)
 
 
-def radius_join(points: DataFrame, centres: DataFrame, radius: float, unit: str = "m") -> DataFrame:
+def at_places(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Places (columns ``by``) with lists of the ``name`` values there, LIST at most in each; a place may have many lists.
+
+    Rows are dealt by ranges of place and name, and a list is a run of neighbours, so a hot place is no single task's.
+    """
+    dealt = rows.repartitionByRange(*by, name).sortWithinPartitions(*by, name)
+    runs = dealt.withColumn("_run", F.floor(F.monotonically_increasing_id() / LIST))
+    # a list leaves null names out, so names are wrapped
+    return runs.groupBy(*by, "_run").agg(F.collect_list(F.struct(name)).alias(f"_all_{name}")).drop("_run")
+
+
+def radius_join(points: DataFrame, centres: DataFrame, radius: float, unit: str = "m", digits: int | None = None) -> DataFrame:
     """Every centre (centre, lon, lat) with the points (member, lon, lat) within the radius, and their distance.
 
     Bands of latitude as high as the radius, cut into cells that are as wide at the band's narrow edge: a point can
-    only match centres of nine cells. Centres go to their nine cells, points to one; the join is on the cell.
+    only match centres of nine cells. Centres go to their nine cells, points to one; the join is on the cell. Both sides
+    come by place, with lists of who is there: a distance is worked out, tested and rounded (to ``digits``) once for two
+    places, and lists are only taken apart in the task that found the pair, so no pair is ever exchanged. Rows without
+    a longitude or latitude match nothing; repeated rows give repeated pairs.
     """
     metres = radius * UNITS[unit]
     side = max(math.degrees(metres / EARTH_M) * 1.000001, 1e-6)
@@ -74,11 +90,17 @@ def radius_join(points: DataFrame, centres: DataFrame, radius: float, unit: str
         return F.least(columns_of(b) - 1, F.floor((lon + 180.0) / 360.0 * columns_of(b)))
 
     placed = points.select("member", F.col("lon").alias("_x"), F.col("lat").alias("_y"), band(F.col("lat")).alias("_b")).withColumn("_c", column_at(F.col("_x"), F.col("_b")))
-    spread = centres.select("centre", "lon", "lat", F.explode(F.array(*(band(F.col("lat")) + k for k in (-1, 0, 1)))).alias("_b"))
+    placed = at_places(placed.where("_b IS NOT NULL AND _c IS NOT NULL"), ["_b", "_c", "_x", "_y"], "member")
+    held = at_places(centres.select("centre", "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL"), ["lat", "lon"], "centre")
+    spread = held.withColumn("_b", F.explode(F.array(*(band(F.col("lat")) + k for k in (-1, 0, 1)))))
     cells = F.array_distinct(F.array(*(F.pmod(column_at(F.col("lon"), F.col("_b")) + k, columns_of(F.col("_b"))) for k in (-1, 0, 1))))
     spread = spread.withColumn("_c", F.explode(cells))
     dist = haversine(F.col("lon"), F.col("lat"), F.col("_x"), F.col("_y"))
-    return spread.join(placed, ["_b", "_c"]).withColumn("dist", dist / UNITS[unit]).where(dist <= metres).select("centre", "member", "dist")
+    shown = dist / UNITS[unit] if digits is None else F.round(dist / UNITS[unit], digits)
+    # a merge: a side's size is no bound on what it would take as a broadcast
+    near = spread.hint("merge").join(placed, ["_b", "_c"]).where(dist <= metres).select("_all_centre", "_all_member", shown.alias("dist"))
+    pairs = near.select("_all_member", "dist", F.explode("_all_centre").alias("_one")).select("_all_member", "dist", F.col("_one.centre").alias("centre"))
+    return pairs.select("centre", "dist", F.explode("_all_member").alias("_one")).select("centre", F.col("_one.member").alias("member"), "dist")
 
 
 def store_distances(found: DataFrame, target: str) -> DataFrame:

@@ -65,8 +65,7 @@ def geohash(spark, sf_dir):
 @register("geo_radius_join", f"WITH {_p('s', 'supplier', 's_suppkey')}, {_p('c', 'customer', 'c_custkey')}, d AS (SELECT s.member AS centre, c.member, {KM.format(a='s.lat', b='c.lat', x='s.lon', y='c.lon')} AS dist FROM s, c) SELECT centre, member, round(dist, 3) AS dist FROM d WHERE dist <= 500")
 def geo_radius_join(spark, sf_dir):
     centres = points(spark, sf_dir).select(F.col("member").alias("centre"), "lon", "lat")
-    found = geo.radius_join(points(spark, sf_dir, "customer", "c_custkey"), centres, 500, "km")
-    return found.withColumn("dist", F.round("dist", 3))
+    return geo.radius_join(points(spark, sf_dir, "customer", "c_custkey"), centres, 500, "km", 3)
 
 
 @register("geopos", P + "SELECT w.pos::INT AS pos, w.member, p.lon, p.lat FROM (VALUES (0, '3'), (1, 'missing'), (2, '1')) w(pos, member) LEFT JOIN p USING (member)")

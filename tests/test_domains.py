@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +66,25 @@ def test_radius_join_against_all_pairs(spark):
         assert found == want, km
 
 
+def test_radius_join_by_places(spark, monkeypatch):
+    """Hot places, repeated and incomplete rows: the pairs of all rows, from one distance for two places."""
+    monkeypatch.setattr(geo, "LIST", 7)
+    rng = random.Random(8)
+    places = [(rng.uniform(-180, 180), rng.uniform(-90, 90)) for _ in range(12)] + [(10.0, 20.0)] * 12
+    rows = lambda n: [(str(i), *rng.choice(places)) for i in range(n)] + [("3", 10.0, 20.0)] * 9 + [(None, 10.0, 20.0), ("no", None, 1.0), ("no", 1.0, None), ("no", float("nan"), 1.0)]
+    a = spark.createDataFrame(rows(200), "member string, lon double, lat double")
+    b = spark.createDataFrame(rows(60), "centre string, lon double, lat double")
+    lists = geo.at_places(a.where("lon IS NOT NULL AND lat IS NOT NULL"), ["lon", "lat"], "member").collect()
+    assert max(len(r["_all_member"]) for r in lists) <= 7 and sum(len(r["_all_member"]) for r in lists) == 211
+    every = a.alias("a").crossJoin(b.alias("b")).select("centre", "member", haversine(F.col("b.lon"), F.col("b.lat"), F.col("a.lon"), F.col("a.lat")).alias("d"))
+    for km in (50, 3000):
+        want = Counter((r["centre"], r["member"], round(r["d"] / 1000, 3)) for r in every.where(F.col("d") <= km * 1000).collect())
+        joined = geo.radius_join(a, b, km, "km", 3)
+        assert Counter(map(tuple, joined.collect())) == want, km
+    plan = joined._jdf.queryExecution().sparkPlan().toString()
+    assert "Broadcast" not in plan and plan.index("_all_member") < plan.index("SortMergeJoin")
+
+
 def test_text_search(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog"), (2, "A lazy cat sleeps all day"), (3, "The fox is very quick and agile"), (4, None), (5, "!!")], "doc_id int, text string")
     index = search.text_index(docs, {"text": 1.0})
