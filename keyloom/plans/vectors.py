@@ -29,8 +29,9 @@ _knn("knn_ip", "ip", "list_inner_product(a.e, b.e)")
 def ann_parts(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings")
     centroids = ops.train_cells(base, ops.cells_for(base.count()))
-    probes = ops.probes_for(base, centroids, 10, RECALL)
-    return ops.ann(ops.assign_cells(base, centroids), ops.assign_cells(base.where("vec_id % 100 = 0"), centroids, probes), 10)
+    index = ops.cell_index(base, centroids)
+    probes = ops.probes_for(base, centroids, 10, RECALL, index=index)
+    return ops.ann(index, ops.cells_near(base.where("vec_id % 100 = 0"), centroids, probes), 10)
 
 
 @register("ann_ivf")

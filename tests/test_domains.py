@@ -162,6 +162,34 @@ def test_neighbours_against_brute_force(spark, metric, monkeypatch):
         assert [x for _, x in own] == [round(x, 6) for x in want]
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2", "ip"])
+def test_copies_tie_by_id_in_every_search(spark, metric, monkeypatch):
+    """Copies of a vector score the same wherever they stand; cells are scanned by block, not joined pair by pair."""
+    monkeypatch.setattr(vectors, "ROWS", 37)
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(700, 24))
+    v[rng.permutation(700)[:300]] = v[3]
+    v[rng.permutation(700)[:40]] = 0.0
+    base = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [1.0, 2.0])], "vec_id long, embedding array<float>").repartition(5)
+    asked = base.where("vec_id % 20 = 3")
+    found = lambda df: sorted((r["query"], r["rank"], r["neighbour"]) for r in df.collect())
+    exact = found(vectors.knn(base, asked.where("size(embedding) = 24"), 12, metric))
+    w = np.vstack([v.astype("f4").astype(float), np.full((1, 24), np.nan)])
+    want = []
+    for q in range(3, 700, 20):
+        s = vectors.pair_scores(np.broadcast_to(w[q], w.shape), w, metric)
+        s[700] = 0.0
+        order = np.lexsort(([*range(700), 901], -s))[:12]
+        want += [(q, rank, [*range(700), 901][i]) for rank, i in enumerate(order)]
+    assert exact == want
+    centroids = vectors.train_cells(base.where("size(embedding) = 24"), 9, metric)
+    index = vectors.cell_index(base, centroids, metric)
+    assert index.count() == 701
+    near = vectors.ann(index, vectors.cells_near(asked, centroids, 9, metric), 12, metric)
+    assert found(near) == want and "Join" not in near._jdf.queryExecution().sparkPlan().toString()
+    assert found(vectors.ann(index, vectors.assign_cells(asked, centroids, 9, metric), 12, metric)) == want
+
+
 def test_inverted_file_recall(spark):
     rng = np.random.default_rng(5)
     v = rng.normal(size=(3000, 16)) + rng.integers(0, 4, (3000, 1)) * 2
