@@ -9,6 +9,7 @@ tokenises, numbers the pieces of each length and looks their places up in the pl
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -21,13 +22,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.common import checkpointed, slices
-from keyloom.llm.tokens import ids_between, lookups, odd, tokenizer, two_parts
+from keyloom.llm.tokens import CACHE_BYTES, ids_between, lookups, odd, tokenizer, two_parts
 
 #: Tokens of a sequence.
 CAPACITY = 2048
 #: Pieces of one length are numbered in groups of about so many, or, beyond that, of a share of all pieces, so that a hot
 #: length is never one task's and the groups' counts are GROUPS and a row for each length at most.
 GROUP_ROWS, GROUPS = 250, 100_000
+#: A comma or full stop before a blank and after another sign, which is one pre-token with it; a dotted I ends in a mark in lower case.
+RUN_OF_SIGNS = re.compile(r"[.,](?<=[^\w\s].|_.|\u0130.) ")
+#: Share of a worker's cache for what has other signs after its letters.
+CORES_SHARE = 1 / 8
 
 
 def token_ids(path: str):
@@ -37,17 +42,26 @@ def token_ids(path: str):
     def alone(text: str) -> bytes:
         return np.array(own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encoded(wanted: list[str]) -> list[bytes]:
+        return ids_between(path, wanted, "|", " | ")
+
     def many(groups: list[str]) -> list[bytes]:
         split = two_parts(groups)
-        ids = cores.learn({x for pair in split for x in pair if x})
-        return [ids[core] + ids[tail] if tail else ids[core] for core, tail in split]
-
-    # words with other punctuation after them share their letters, which are fewer and so are kept for longer
-    cores, known = lookups({f"cores {path}": (lambda wanted: ids_between(path, wanted, "|", " | "), None), f"ids {path}": (many, None)})
+        plain = [core for core, tail in split if not tail]
+        ids = dict(zip(plain, encoded(plain), strict=True))
+        if len(plain) < len(groups):
+            parts = cores.learn({x for pair in split if pair[1] for x in pair})
+            return [parts[core] + parts[tail] if tail else ids[core] for core, tail in split]
+        return [ids[core] for core, _ in split]
+
+    # words with other punctuation after them share their letters
+    both = 2 * CACHE_BYTES
+    most = [int(both * CORES_SHARE), int(both * (1 - CORES_SHARE))]
+    cores, known = lookups({f"cores {path}": (encoded, None), f"ids {path}": (many, None)}, most)
 
     def run(texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [b"" if not t else alone(t) if odd(t) else None for t in texts]
-        groups = [lowered(t).split() if x is None else () for t, x in zip(texts, out, strict=True)]
+        groups = [apart(lowered(t)).split() if x is None else () for t, x in zip(texts, out, strict=True)]
         ids = known.learn(set().union(*groups)).__getitem__
         return [b"".join(map(ids, g)) if x is None else x for g, x in zip(groups, out, strict=True)]
 
@@ -61,6 +75,14 @@ def lowered(text: str) -> str:
     return text
 
 
+def apart(text: str) -> str:
+    """Commas and full stops between a letter or digit and a blank set apart, to have fewer groups; the pattern does so anyway.
+
+    A text in which one follows another sign stays as it is, as signs in a row are one pre-token.
+    """
+    return text if RUN_OF_SIGNS.search(text) else text.replace(", ", " , ").replace(". ", " . ")
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", terminator: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for every piece; a null text is just the terminator."""
     end = terminator.to_bytes(4, "little")

@@ -77,13 +77,13 @@ class Lookup:
         self.taken += sum(map(len, groups)) + held + ENTRY_BYTES * len(groups)
 
 
-def lookups(makes: dict[str, tuple[Callable[[list[str]], list], dict | None]]) -> list[Lookup]:
-    """The worker's lookups of these kinds. They outlive tasks, until a task of another kind of work begins."""
+def lookups(makes: dict[str, tuple[Callable[[list[str]], list], dict | None]], most: list[int] | None = None) -> list[Lookup]:
+    """The worker's lookups of these kinds, with their bytes. They outlive tasks, until a task of another kind of work begins."""
     for kind in [k for k in _lookups if k not in makes]:
         del _lookups[kind]
-    for kind, (make, fixed) in makes.items():
+    for (kind, (make, fixed)), size in zip(makes.items(), most or [CACHE_BYTES] * len(makes), strict=True):
         if kind not in _lookups:
-            _lookups[kind] = Lookup(make, fixed)
+            _lookups[kind] = Lookup(make, fixed, size)
     return [_lookups[kind] for kind in makes]
 
 
@@ -123,7 +123,8 @@ def two_parts(groups: list[str]) -> list[tuple[str, str]]:
     for group in groups:
         if not group.isalpha():
             core = group.rstrip(PUNCTUATION)
-            if core.isalpha():
+            # a dotted I ends in a mark in lower case, which is one pre-token with the punctuation
+            if core.isalpha() and core[-1] != "\u0130":
                 out.append((core, group[len(core) :]))
                 continue
         out.append((group, ""))

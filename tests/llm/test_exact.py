@@ -1,5 +1,6 @@
 """Operators with exact results against brute force over the awkward table."""
 
+import random
 import hashlib
 import re
 import zlib
@@ -223,6 +224,23 @@ def test_token_counts_are_the_librarys(spark):
     assert tokens.count_tokens(cases.empty(spark), path, 1024).count() == 0
 
 
+def test_signs_set_apart_keep_the_ids():
+    """Words, signs, marks and blanks in any order give the library's ids; a word with commas and stops is one group."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    rng = random.Random(12)
+    parts = ["word", "Don't", "'s", "42", "_", ",", ".", ", ", ". ", "...", ".'", "|", " ", "\n", "\u0085", "e\u0301", "\u200b", "\u00b2", "\u24b6", "\u4e2d", "\u0130", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    tokens._lookups.clear()
+    want = [np.array(own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing.token_ids(path)(texts) == want
+    tokens._lookups.clear()
+    words = [f"w{''.join(rng.choice('abcdefgh') for _ in range(9))}" for _ in range(500)]
+    packing.token_ids(path)([f"{w}, {w}. {w} end" for w in words])
+    assert sum(len(held.known) for held in tokens._lookups.values()) <= len(set(words)) + 3
+    tokens._lookups.clear()
+
+
 def test_packing_is_whole_gapless_and_tight(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = cases.docs(spark)
